@@ -60,6 +60,29 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.unionByName(null)
 
 
+def keep_first(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs with one row of each text, that of the least doc_id; rows of a null text all stay.
+
+    Copies are dropped by doc_id.  Where the doc_id of a dropped row also has
+    a row that stays (repeated rows, or an id with several texts), and for null ids, the
+    decision is made on (doc_id, text) instead, so that one row of each text is left.
+    """
+    decided = Scratch(docs.sparkSession, "first").table(exact_duplicates(docs, block_chars=block_chars), "decided")
+    ids = decided.groupBy("doc_id").agg(F.max("is_duplicate").alias("some"), F.min("is_duplicate").alias("all"))
+    drop = ids.where("all").select(F.col("doc_id").alias("_id"))
+    mixed = ids.where("some AND NOT all OR some AND doc_id IS NULL").select(F.col("doc_id").alias("_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    kept = docs.join(drop.where("_id IS NOT NULL"), F.col("doc_id") == F.col("_id"), "left_anti").join(mixed, same, "left_anti")
+    if mixed.limit(1).count() == 0:
+        return kept
+    rows = docs.join(mixed, same, "left_semi")
+    one = rows.where("text IS NOT NULL").groupBy("text").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).alias("r")).select("r.*")
+    elsewhere = kept.where("text IS NOT NULL").select(F.col("text").alias("_text"))
+    first = one.join(elsewhere, F.col("text") == F.col("_text"), "left_anti")
+    # kept.doc_id of an equal text is less only if the least id is there; such rows of `one` are copies
+    return kept.unionByName(first).unionByName(rows.where("text IS NULL"))
+
+
 SQL = """
 SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS canonical_id,
        CASE WHEN text IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY text) END AS n_copies,
