@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_names, decontaminate, ngram_join, packing, quality, sharding
+from . import block_names, decontaminate, ngram_join, packing, quality, secret_scan, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_pairs(_read(spark, sf_dir, "documents"))
 
 
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.normalised_pages(_read(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_read(spark, sf_dir, "documents"))
 
@@ -35,6 +43,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op4_best_fit_packing, op6_exact_dedup, op8_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_warc_normaliser, op4_best_fit_packing, op6_exact_dedup, op7_secret_scan, op8_sharding, op10_decontamination)}
 
-ORACLE_SQL = {"op2_ngram_jaccard_join": ngram_join.SQL, "op6_exact_dedup": block_names.SQL}
+ORACLE_SQL = {"op2_ngram_jaccard_join": ngram_join.SQL, "op6_exact_dedup": block_names.SQL, "op7_secret_scan": secret_scan.SQL}
