@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_names, decontaminate, ngram_join, packing, quality, secret_scan, sharding, warc
+from . import block_names, decontaminate, hmm, ngram_join, packing, quality, secret_scan, sharding, suffixes, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"))
 
 
+def op5_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_model_scores(_read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -39,10 +43,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_warc_normaliser, op4_best_fit_packing, op6_exact_dedup, op7_secret_scan, op8_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_warc_normaliser, op4_best_fit_packing, op5_hmm_scores, op6_exact_dedup, op7_secret_scan, op8_sharding, op9_suffix_array_dedup, op10_decontamination)}
 
-ORACLE_SQL = {"op2_ngram_jaccard_join": ngram_join.SQL, "op6_exact_dedup": block_names.SQL, "op7_secret_scan": secret_scan.SQL}
+ORACLE_SQL = {"op2_ngram_jaccard_join": ngram_join.SQL, "op6_exact_dedup": block_names.SQL, "op7_secret_scan": secret_scan.SQL, "op9_suffix_array_dedup": suffixes.SQL}
