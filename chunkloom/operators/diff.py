@@ -15,10 +15,6 @@ KINDS = ("keep", "move", "add", "delete")
 _FIELDS = ("position", "start_offset", "end_offset", "token_count", "metadata")
 
 
-def _ranked(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-
-
 def plan_operations(old: DataFrame, new: DataFrame, changed_documents: DataFrame | None = None) -> DataFrame:
     """(document_id, kind, chunk_hash, old_position, new_position, old_token_count, new_token_count).
 
@@ -27,29 +23,28 @@ def plan_operations(old: DataFrame, new: DataFrame, changed_documents: DataFrame
     is kept only if token count and metadata are the same and the document's own
     metadata has not changed (changed_documents: its ids); any other match is
     a move.  What is left over is deleted or added.
+
+    Both states are shuffled once, by (document, hash); every window and
+    grouping below works on keys that contain these two.
     """
+    side = lambda df, name: df.select("document_id", "chunk_hash", *_FIELDS, F.lit(name).alias("side"))
+    rows = side(old, "old").unionByName(side(new, "new")).repartition("document_id", "chunk_hash")
     exact = ["document_id", "chunk_hash", "start_offset", "end_offset"]
-    loose = ["document_id", "chunk_hash"]
-    a = _ranked(old.select("document_id", "chunk_hash", *_FIELDS), exact, "position")
-    b = _ranked(new.select("document_id", "chunk_hash", *_FIELDS), exact, "position")
-    both = a.alias("o").join(b.alias("n"), [*exact, "rn"], "full_outer").select(
-        "document_id", "chunk_hash", "start_offset", "end_offset",
-        *[F.col(f"o.{c}").alias(f"old_{c}") for c in ("position", "token_count", "metadata")],
-        *[F.col(f"n.{c}").alias(f"new_{c}") for c in ("position", "token_count", "metadata")],
-    )
-    matched = both.where("old_position IS NOT NULL AND new_position IS NOT NULL")
-    same = F.col("old_token_count").eqNullSafe(F.col("new_token_count")) & F.col("old_metadata").eqNullSafe(F.col("new_metadata"))
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*exact, "side").orderBy("position")))
+    of = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}")
+    both = rows.groupBy(*exact, "rn").agg(*[of(s, c) for s in ("old", "new") for c in ("position", "token_count", "metadata")])
+    found = F.col("old_position").isNotNull() & F.col("new_position").isNotNull()
+    same = found & F.col("old_token_count").eqNullSafe(F.col("new_token_count")) & F.col("old_metadata").eqNullSafe(F.col("new_metadata"))
     if changed_documents is not None:
-        mark = changed_documents.select("document_id").distinct().withColumn("changed", F.lit(True))
-        matched = matched.join(mark, "document_id", "left")
+        both = both.join(changed_documents.select("document_id").distinct().withColumn("changed", F.lit(True)), "document_id", "left")
         same &= F.col("changed").isNull()
-    columns = ("document_id", "chunk_hash", "old_position", "new_position", "old_token_count", "new_token_count")
-    first = matched.select(F.when(same, "keep").otherwise("move").alias("kind"), *columns)
-    rest_old = _ranked(both.where("new_position IS NULL").select("document_id", "chunk_hash", "old_position", "old_token_count"), loose, "old_position")
-    rest_new = _ranked(both.where("old_position IS NULL").select("document_id", "chunk_hash", "new_position", "new_token_count"), loose, "new_position")
-    second = rest_old.join(rest_new, [*loose, "rn"], "full_outer")
-    kind = F.when(F.col("new_position").isNull(), "delete").when(F.col("old_position").isNull(), "add").otherwise("move")
-    return first.unionByName(second.select(kind.alias("kind"), *columns))
+    state = F.when(same, "keep").when(found, "move").when(F.col("new_position").isNull(), "old").otherwise("new")
+    both = both.withColumn("state", state).withColumn("exact", found)
+    left = Window.partitionBy("document_id", "chunk_hash", "state").orderBy(F.coalesce("old_position", "new_position"))
+    columns = ("old_position", "new_position", "old_token_count", "new_token_count")
+    merged = both.withColumn("rn", F.row_number().over(left)).groupBy("document_id", "chunk_hash", F.when(F.col("exact"), F.col("state")).otherwise("rest").alias("state"), "rn").agg(*[F.max(c).alias(c) for c in columns])
+    kind = F.when(F.col("state") != "rest", F.col("state")).when(F.col("new_position").isNull(), "delete").when(F.col("old_position").isNull(), "add").otherwise("move")
+    return merged.select("document_id", kind.alias("kind"), "chunk_hash", *columns)
 
 
 def presented(operations: DataFrame) -> DataFrame:
