@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._dist import drop_rows
 from ._text import column
 
 ERROR_RATE = 0.1
@@ -58,17 +58,39 @@ def myers(pattern: str, text: str, limit: int) -> int | None:
     return best if best <= limit else None
 
 
+def ancestors(cuts: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
+    """For each piece (start, end) the (start, end, budget) of the joined pieces around it, up to the whole item.
+
+    L joined pieces have a budget of L - 1 errors: if they match within it, so
+    does one of any two parts they are split into, down to one exact piece.
+    """
+    paths: list[list[tuple[int, int, int]]] = [[] for _ in cuts]
+
+    def split(lo: int, hi: int) -> None:
+        if hi - lo > 1:
+            mid = (lo + hi) // 2
+            split(lo, mid)
+            split(mid, hi)
+            for k in range(lo, hi):
+                paths[k].append((cuts[lo][0], cuts[hi - 1][1], hi - lo - 1))
+
+    split(0, len(cuts))
+    return paths
+
+
 class Matcher:
-    """All pieces of all items in one Aho-Corasick automaton; built once for each Python worker."""
+    """All pieces of all items in one Aho-Corasick automaton; built once for each task."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
         import ahocorasick
 
         self.items = [(i, t, budget_of(t, rate)) for i, t in items if t]
-        table: dict[str, list[tuple[int, int]]] = {}
+        table: dict[str, list[tuple[int, int, list]]] = {}
         for k, (_, t, budget) in enumerate(self.items):
-            for at, piece in pieces(t, budget):
-                table.setdefault(piece, []).append((k, at))
+            parts = pieces(t, budget)
+            for (at, piece), path in zip(parts, ancestors([(a, a + len(p)) for a, p in parts])):
+                # the whole item comes last and is verified on merged windows
+                table.setdefault(piece, []).append((k, at, [(at - a, b - at, e, t[a:b]) for a, b, e in path[:-1]]))
         self.machine = ahocorasick.Automaton()
         for piece, owners in table.items():
             self.machine.add_word(piece, (len(piece), owners))
@@ -77,21 +99,29 @@ class Matcher:
         self.some = bool(table)
 
     def find(self, text: str):
-        """(item_id, distance) of every item that occurs in text within its budget."""
+        """(item_id, distance) of every item that occurs in text within its budget.
+
+        From an exact piece the match is extended piece by piece, each step with
+        the budget that joined pieces have; only hits that reach the whole item are verified on it.
+        """
         if not self.some or not text:
             return
         windows: dict[int, list[tuple[int, int]]] = {}
         for end, (size, owners) in self.machine.iter(text):
-            for k, at in owners:
-                _, t, budget = self.items[k]
-                start = end + 1 - size - at
-                windows.setdefault(k, []).append((max(0, start - budget), min(len(text), start + len(t) + budget)))
-        for k, spans in windows.items():
+            p = end + 1 - size
+            for k, at, path in owners:
+                for before, after, e, part in path:
+                    if myers(part, text[max(0, p - before - e) : p + after + e], e) is None:
+                        break
+                else:
+                    _, t, budget = self.items[k]
+                    windows.setdefault(k, []).append((max(0, p - at - budget), min(len(text), p - at + len(t) + budget)))
+        for k, found in windows.items():
             item_id, t, budget = self.items[k]
             best = None
-            spans.sort()
-            lo, hi = spans[0]
-            for a, b in [*spans[1:], (1 << 62, 0)]:
+            found.sort()
+            lo, hi = found[0]
+            for a, b in [*found[1:], (1 << 62, 0)]:
                 if a <= hi:
                     hi = max(hi, b)
                     continue
@@ -103,8 +133,6 @@ class Matcher:
                 yield item_id, best
 
 
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """Rows (doc_id, item_id, distance): the document has a passage within edit distance rate x length of the item.
 
@@ -120,17 +148,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, slice
     is reported as null, a repeated row again, and a repeated item_id for each of its texts.
     Other columns are not read.  Empty tables give no rows.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), normal(F.col("text")).alias("text")).where("length(text) > 0").distinct()
-    number = max(1, -(-(items.agg(F.sum(F.length("text"))).collect()[0][0] or 0) // slice_chars))
+    given = _broadcasts(docs.sparkSession, benchmark, slice_chars)
     texts = docs.select("doc_id", normal(F.col("text").cast("string")).alias("text")).where("length(text) > 0")
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = None
+    for part in given:
+        found = texts.mapInArrow(_scan(part, rate), f"doc_id {kind}, item_id long, distance int")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _broadcasts(spark, benchmark: DataFrame, slice_chars: int) -> list:
+    """The items in slices that are small enough to be sent to every executor."""
+    items = benchmark.select(F.col("item_id").cast("long"), normal(F.col("text")).alias("text")).where("length(text) > 0").distinct()
+    number = max(1, -(-(items.agg(F.sum(F.length("text"))).collect()[0][0] or 0) // slice_chars))
+    out = []
     for k in range(number):
         part = items if number == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(number)) == k)
-        given = spark.sparkContext.broadcast(sorted((r.item_id if r.item_id is not None else -1, r.text, r.item_id is None) for r in part.collect()))
-        found = texts.mapInArrow(_scan(given, rate), f"doc_id {kind}, item_id long, distance int")
-        out = found if out is None else out.unionByName(found)
+        out.append(spark.sparkContext.broadcast(sorted((r.item_id if r.item_id is not None else -1, r.text, r.item_id is None) for r in part.collect())))
     return out
 
 
@@ -150,6 +185,32 @@ def _scan(given, rate: float):
     return scan
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without the documents that hold a benchmark item; a document of a null id stays."""
-    return drop_rows(docs, leaks(docs, benchmark, **how))
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """The rows of docs, all their columns, whose text holds no item in the sense of leaks: decided row by row, without a shuffle.
+
+    Null and empty texts stay.
+    """
+    for part in _broadcasts(docs.sparkSession, benchmark, slice_chars):
+        docs = docs.where(_holds_none(part, rate)(normal(F.col("text").cast("string"))))
+    return docs
+
+
+def _holds_none(given, rate: float):
+    @F.arrow_udf(T.BooleanType())
+    def holds_none(texts: pa.Array) -> pa.Array:
+        matcher = _matcher(given, rate)
+        return pa.array([next(matcher.find(t or ""), None) is None for t in texts.to_pylist()], pa.bool_())
+
+    return holds_none
+
+
+_BUILT: dict[tuple[int, float], Matcher] = {}
+
+
+def _matcher(given, rate: float) -> Matcher:
+    """The automaton of a broadcast: the last one is kept by the Python worker."""
+    key = (given.id if hasattr(given, "id") else id(given.value), rate)
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Matcher([(None if null else i, t) for i, t, null in given.value], rate)
+    return _BUILT[key]
