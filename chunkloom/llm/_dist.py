@@ -166,5 +166,8 @@ def bytes_of(text: Column) -> Column:
 
 
 def drop_rows(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in ``drop``; a null id is never dropped."""
-    return docs.join(drop.select(F.col(id_col).alias("_drop")).distinct(), F.col(id_col) == F.col("_drop"), "left_anti")
+    """docs without the rows whose id is in ``drop``; a null id is never dropped.
+
+    The ids grow with the corpus, so they are never broadcast: both sides meet in one shuffle by id.
+    """
+    return docs.join(drop.select(F.col(id_col).alias("_drop")).distinct().hint("merge"), F.col(id_col) == F.col("_drop"), "left_anti")

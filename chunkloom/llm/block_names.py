@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._dist import Scratch, global_order
+from ._dist import Scratch, drop_rows, global_order
 
 BLOCK_CHARS = 2048
 
@@ -68,13 +68,14 @@ def keep_first(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     decision is made on (doc_id, text) instead, so that one row of each text is left.
     """
     decided = Scratch(docs.sparkSession, "first").table(exact_duplicates(docs, block_chars=block_chars), "decided")
-    ids = decided.groupBy("doc_id").agg(F.max("is_duplicate").alias("some"), F.min("is_duplicate").alias("all"))
-    drop = ids.where("all").select(F.col("doc_id").alias("_id"))
-    mixed = ids.where("some AND NOT all OR some AND doc_id IS NULL").select(F.col("doc_id").alias("_id"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    kept = docs.join(drop.where("_id IS NOT NULL"), F.col("doc_id") == F.col("_id"), "left_anti").join(mixed, same, "left_anti")
+    ids = decided.groupBy("doc_id").agg(F.max("is_duplicate").alias("some"), F.min("is_duplicate").alias("all")).where("some")
+    mixed = ids.where("NOT all OR doc_id IS NULL").select(F.col("doc_id").alias("_id"))
     if mixed.limit(1).count() == 0:
-        return kept
+        return drop_rows(docs, ids)
+    kept = drop_rows(docs, ids).where("doc_id IS NOT NULL")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    if mixed.where("_id IS NULL").count() == 0:
+        kept = kept.unionByName(docs.where("doc_id IS NULL"))
     rows = docs.join(mixed, same, "left_semi")
     one = rows.where("text IS NOT NULL").groupBy("text").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).alias("r")).select("r.*")
     elsewhere = kept.where("text IS NOT NULL").select(F.col("text").alias("_text"))

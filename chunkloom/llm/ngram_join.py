@@ -116,7 +116,7 @@ def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rec
     cells = members.select(F.col("doc_id").alias("_id"), "p", "q", "node", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("_id", "p", "q", "node", "block", "comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     # one text row for each wanted document, then to its cells; equal (id, text) rows meet here
-    wanted = texts.join(cells.groupBy("_id").agg(F.collect_list(F.struct("p", "q", "node", "block", "comp", "x", "y")).alias("cells")), F.col("doc_id") == F.col("_id"))
+    wanted = texts.join(cells.groupBy("_id").agg(F.collect_list(F.struct("p", "q", "node", "block", "comp", "x", "y")).alias("cells")).hint("merge"), F.col("doc_id") == F.col("_id"))
     sent = wanted.select("doc_id", "text", F.explode("cells").alias("c")).select("doc_id", "text", "c.*")
 
     def verify(batches):
