@@ -11,10 +11,9 @@ from collections.abc import Callable
 
 from chunkloom.llm import block_names, decontaminate, ngram_join, packing, quality
 from chunkloom.llm._dist import shared_dir
+from chunkloom.shared import ship
 from pyspark.sql import DataFrame, SparkSession
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,27 +24,32 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     The classifier learns from the labels and the labelled documents of the input.
     """
+    ship(spark)
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
     return quality.keep_clean(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row, that of the least doc_id, of all rows of equal text; null texts stay."""
+    ship(spark)
     return block_names.keep_first(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the least doc_id, of each connected group of near copies."""
+    ship(spark)
     return ngram_join.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that hold no passage within the error budget of a benchmark item."""
+    ship(spark)
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows (bin, doc_id, start, length): every word of every kept document in one bin."""
+    ship(spark)
     return packing.packed(docs)
 
 
