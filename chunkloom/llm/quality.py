@@ -147,17 +147,23 @@ def fit(x: np.ndarray, y: np.ndarray, lexicon: np.ndarray, shrink: float = SHRIN
     return Model(np.array(means), np.array(factors), np.array(half), np.array(prior), centre, scale, lexicon)
 
 
-def learn_lexicon(labelled: DataFrame, least: int = 5, ratio: float = 20.0) -> np.ndarray:
-    """Hashes of the words that mark toxic texts: in at least ``least`` distinct toxic texts and
-    ``ratio`` times as often there as in others, each with one text more on the other side."""
+def learn_lexicon(labelled: DataFrame, least: int = 4, share: float = 0.01, ratio: float = 20.0) -> np.ndarray:
+    """Hashes of the words that mark toxic texts: they occur in at least ``least`` families of toxic texts, and in so
+    many as make ``share`` of the toxic texts, ``ratio`` times as often there as in others, with one text more on the other side.
+
+    A family is the texts with the same least hash of two adjacent words: near
+    copies share it, so the rare words of a text that was copied often mark nothing.
+    """
     counts = {y: n for y, n in labelled.groupBy(F.col("y") == 2).count().collect()}
     toxic, other = counts.get(True, 0), counts.get(False, 0)
     if not toxic:
         return np.zeros(0, np.uint64)
-    words = F.array_distinct(F.transform(F.split(F.lower("text"), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: F.regexp_replace(w, "[.,;:!?#$%&*]+$", "")))
-    df = labelled.select((F.col("y") == 2).cast("long").alias("t"), F.explode(words).alias("word")).where("length(word) between 3 and 64").groupBy("word").agg(F.sum("t").alias("t"), F.count("*").alias("n"))
+    split = F.split(F.lower("text"), "[ \\t\\n\\x0B\\f\\r]+")
+    family = F.array_min(F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit("")))))
+    rows = labelled.select((F.col("y") == 2).alias("t"), split.alias("w")).select("t", F.when(F.col("t"), family).alias("family"), F.explode(F.array_distinct(F.transform("w", lambda w: F.rtrim(F.translate(w, ".,;:!?#$%&*", " " * 11))))).alias("word"))
+    df = rows.where("length(word) between 3 and 64").groupBy("word").agg(F.size(F.collect_set("family")).alias("families"), F.count_if("t").alias("t"), F.count("*").alias("n"))
     rate = (F.col("t") / toxic) / ((F.col("n") - F.col("t") + 1) / max(1, other))
-    chosen = [r.word for r in df.where((F.col("t") >= least) & (rate >= ratio) & (F.col("t") >= 0.005 * toxic)).select("word").collect()]
+    chosen = [r.word for r in df.where((F.col("families") >= max(least, share * toxic)) & (rate >= ratio)).select("word").collect()]
     if not chosen:
         return np.zeros(0, np.uint64)
     buf = np.frombuffer("\n".join(chosen).encode(), np.uint8)
