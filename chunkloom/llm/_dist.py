@@ -165,9 +165,18 @@ def bytes_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as tell it from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_rows(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without the rows whose id is in ``drop``; a null id is never dropped.
 
     The ids grow with the corpus, so they are never broadcast: both sides meet in one shuffle by id.
     """
-    return docs.join(drop.select(F.col(id_col).alias("_drop")).distinct().hint("merge"), F.col(id_col) == F.col("_drop"), "left_anti")
+    name = fresh(docs, "_drop")
+    return docs.join(drop.select(F.col(id_col).alias(name)).distinct().hint("merge"), F.col(id_col) == F.col(name), "left_anti")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._dist import Scratch, drop_rows, global_order
+from ._dist import Scratch, drop_rows, fresh, global_order
 
 BLOCK_CHARS = 2048
 
@@ -69,19 +69,18 @@ def keep_first(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """
     decided = Scratch(docs.sparkSession, "first").table(exact_duplicates(docs, block_chars=block_chars), "decided")
     ids = decided.groupBy("doc_id").agg(F.max("is_duplicate").alias("some"), F.min("is_duplicate").alias("all")).where("some")
-    mixed = ids.where("NOT all OR doc_id IS NULL").select(F.col("doc_id").alias("_id"))
+    name = fresh(docs, "_id")
+    mixed = ids.where("NOT all OR doc_id IS NULL").select(F.col("doc_id").alias(name))
     if mixed.limit(1).count() == 0:
         return drop_rows(docs, ids)
     kept = drop_rows(docs, ids).where("doc_id IS NOT NULL")
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    if mixed.where("_id IS NULL").count() == 0:
+    if mixed.where(F.col(name).isNull()).count() == 0:
         kept = kept.unionByName(docs.where("doc_id IS NULL"))
-    rows = docs.join(mixed, same, "left_semi")
+    rows = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
     one = rows.where("text IS NOT NULL").groupBy("text").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).alias("r")).select("r.*")
-    elsewhere = kept.where("text IS NOT NULL").select(F.col("text").alias("_text"))
-    first = one.join(elsewhere, F.col("text") == F.col("_text"), "left_anti")
-    # kept.doc_id of an equal text is less only if the least id is there; such rows of `one` are copies
-    return kept.unionByName(first).unionByName(rows.where("text IS NULL"))
+    # a text whose first row has an id of its own is in kept already
+    elsewhere = kept.where("text IS NOT NULL").select(F.col("text").alias(name))
+    return kept.unionByName(one.join(elsewhere, F.col("text") == F.col(name), "left_anti")).unionByName(rows.where("text IS NULL"))
 
 
 SQL = """

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._dist import fresh
+
 SHARD_BYTES = 8 << 20
 OVERSAMPLE = 64
 TOLERANCE = 1.5
@@ -29,17 +31,19 @@ def shards(docs: DataFrame, key: str = "source", id_col: str = "doc_id", text_co
 
     What is collected is the sample and one line a range: both in proportion to
     the number of shards, not to that of rows.  Every row gets into exactly one
-    shard; an empty table gives no rows.  A column of docs called ``shard`` or
-    ``_key`` is replaced or dropped.  A row counts as one byte more than its
+    shard; an empty table gives no rows.  A column of docs called ``shard``
+    is replaced.  A row counts as one byte more than its
     text, a null text as one.  Texts are never cut: one above shard_bytes makes
     a larger shard.
     """
-    docs = docs.drop("shard", "_key").withColumn("_key", order_key(docs, key, id_col))
+    docs = docs.drop("shard")
+    name = fresh(docs, "_key")
+    docs = docs.withColumn(name, order_key(docs, key, id_col))
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
-    slim = docs.select("_key", size.alias("w"), F.xxhash64("_key", text_col).alias("h"))
+    slim = docs.select(F.col(name).alias("_key"), size.alias("w"), F.xxhash64(name, text_col).alias("h"))
     (total,) = slim.agg(F.sum("w")).collect()[0]
     if not total:
-        return docs.drop("_key").withColumn("shard", F.lit(0))
+        return docs.drop(name).withColumn("shard", F.lit(0))
     count = -(-total // shard_bytes)
     splitters = quantiles(_sample(slim, total, count * oversample), count)
     deal: dict[int, int] = {}
@@ -62,8 +66,8 @@ def shards(docs: DataFrame, key: str = "source", id_col: str = "doc_id", text_co
         splitters = sorted({*splitters, *more})
     parts = [deal.get(r, 1) for r in range(len(splitters) + 1)]
     begin = [0, *accumulate(parts)]
-    out = docs.withColumn("shard", _shard_of(splitters, begin, parts)(F.col("_key"), F.xxhash64(text_col, F.monotonically_increasing_id())))
-    return out.repartitionById(begin[-1], F.col("shard")).sortWithinPartitions("shard", "_key").drop("_key")
+    out = docs.withColumn("shard", _shard_of(splitters, begin, parts)(F.col(name), F.xxhash64(text_col, F.monotonically_increasing_id())))
+    return out.repartitionById(begin[-1], F.col("shard")).sortWithinPartitions("shard", name).drop(name)
 
 
 def order_key(docs: DataFrame, key: str, id_col: str) -> Column:
