@@ -13,9 +13,9 @@ from ._dist import Scratch, components, drop_rows
 from ._text import column, gram_sets, mix, slices, spans, word_hashes
 
 N = 3
-THRESHOLD = 0.6
+THRESHOLD = 0.5
 RECALL = 0.95
-ROWS = 5
+ROWS = 4
 CELL_DOCS = 1000
 CELL_BYTES = 16 << 20
 
@@ -231,7 +231,7 @@ WITH words AS (
   SELECT a.rep AS doc_a, b.rep AS doc_b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS jaccard
   FROM grams a JOIN grams b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL
 )
-SELECT doc_a, doc_b, jaccard::DOUBLE AS jaccard FROM near WHERE jaccard >= 0.6
+SELECT doc_a, doc_b, jaccard::DOUBLE AS jaccard FROM near WHERE jaccard >= 0.5
 UNION ALL
 SELECT rep, doc_id, 1.0 FROM sets JOIN reps USING (s) WHERE doc_id > rep
 """

@@ -142,7 +142,7 @@ def test_join_finds_the_pairs_of_brute_force(spark):
     sets = [grams(t) for t in texts]
     first = {}
     rep = [first.setdefault(frozenset(s), i) for i, s in enumerate(sets)]
-    want = {(i, j) for i, j in itertools.combinations(sorted(set(rep)), 2) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.6}
+    want = {(i, j) for i, j in itertools.combinations(sorted(set(rep)), 2) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= ngram_join.THRESHOLD}
     docs = table(spark, list(enumerate(texts)))
     for how in ({}, {"cell_docs": 2}):  # cells split into blocks
         got = ngram_join.jaccard_pairs(docs, **how).collect()
