@@ -61,7 +61,11 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def global_order(scratch: Scratch, df: DataFrame, keys: list[str], tag: str, keep: list[str]) -> tuple[DataFrame, int, int]:
+class _Collision(Exception):
+    """Different keys of the same hash lie on both sides of a partition border."""
+
+
+def global_order(scratch: Scratch, df: DataFrame, keys: list[str], tag: str, keep: list[str], by_hash: bool = False) -> tuple[DataFrame, int, int]:
     """Sorts df by keys over the whole cluster and numbers the rows.
 
     Returns a table of the columns ``keep`` with ``row`` (0, 1, ... in the order of
@@ -72,14 +76,27 @@ def global_order(scratch: Scratch, df: DataFrame, keys: list[str], tag: str, kee
     that occurs very often spreads over several partitions; names are joined up
     at partition borders by comparing the values themselves.  The sorted rows are
     numbered as they stream by and written once without the key values; what
-    goes through the driver is two values for each partition.
+    goes through the driver is four values for each partition.
+
+    by_hash: keys are long, so the order is that of (hash of keys, keys) and
+    ranges are cut by hash, which keeps the sampled range bounds short.  Values
+    are still compared as they are; should different values of one hash meet at
+    a border, the ranges are cut by the keys after all.
     """
+    try:
+        return _ordered(scratch, df, keys, tag, keep, by_hash)
+    except _Collision:
+        return _ordered(scratch, df, keys, f"{tag}-keys", keep, False)
+
+
+def _ordered(scratch: Scratch, df: DataFrame, keys: list[str], tag: str, keep: list[str], by_hash: bool) -> tuple[DataFrame, int, int]:
     ties = [c for c in keep if c not in keys]
-    ordered = df.select(*dict.fromkeys([*keys, *keep])).repartitionByRange(*[F.col(c) for c in [*keys, *ties]]).sortWithinPartitions(*keys, *ties)
+    rows = df.select(*dict.fromkeys([*keys, *keep])).withColumn("_h", F.xxhash64(*keys) if by_hash else F.lit(0).cast("long"))
+    cut = ["_h"] if by_hash else keys
+    ordered = rows.repartitionByRange(*[F.col(c) for c in [*cut, *ties]]).sortWithinPartitions("_h", *keys, *ties)
     kept = [T.StructField(f.name, f.dataType) for f in ordered.schema.fields if f.name in keep]
     key_fields = [T.StructField(k, ordered.schema[k].dataType) for k in keys]
-    schema = T.StructType([*kept, T.StructField("_pid", T.IntegerType()), T.StructField("_row", T.LongType()), T.StructField("_name", T.LongType()), T.StructField("_edge", T.ArrayType(T.StructType(key_fields)))])
-
+    schema = T.StructType([*kept, T.StructField("_pid", T.IntegerType()), T.StructField("_row", T.LongType()), T.StructField("_name", T.LongType()), T.StructField("_edge", T.ArrayType(T.StructType([T.StructField("_h", T.LongType()), *key_fields])))])
     want = to_arrow_schema(schema)
     edge_type = want.field("_edge").type
 
@@ -91,39 +108,50 @@ def global_order(scratch: Scratch, df: DataFrame, keys: list[str], tag: str, kee
     def number(batches):
         from pyspark import TaskContext
 
-        pid, row, rank, last, first = TaskContext.get().partitionId(), 0, -1, None, None
+        pid, row, rank, last = TaskContext.get().partitionId(), 0, -1, None
+        first = first_end = last_begin = None  # the least key, the greatest of its hash, the least of the last hash
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            cols = [column(batch, k) for k in keys]
+            cols = [column(batch, k) for k in ["_h", *keys]]
+            value = lambda i, cols=cols: [c[i].as_py() for c in cols]
             change = np.zeros(n, bool)
-            head = [c[0].as_py() for c in cols]
+            head = value(0)
             change[0] = last is None or head != last
             for c in cols:
                 change[1:] |= differs(c)
-            first = head if first is None else first
-            last = [c[n - 1].as_py() for c in cols]
+            h = cols[0].to_numpy()
+            begin = int(np.searchsorted(h, h[-1]))
+            if first is None:
+                first = head
+            if h[0] == first[0]:
+                first_end = value(int(np.searchsorted(h, h[0], "right")) - 1)
+            if begin or last is None or h[0] != last[0]:
+                last_begin = value(begin)
+            last = value(n - 1)
             name = rank + np.cumsum(change, dtype=np.int64)
             rank = int(name[-1])
             yield pack([column(batch, f.name) for f in kept], pid, np.arange(row, row + n, dtype=np.int64), name, pa.nulls(n, edge_type))
             row += n
         if row:
-            edge = pa.array([[dict(zip(keys, first)), dict(zip(keys, last))]], edge_type)
+            edge = pa.array([[dict(zip(["_h", *keys], e)) for e in (first, first_end, last_begin, last)]], edge_type)
             yield pack([pa.nulls(1, want.field(f.name).type) for f in kept], pid, np.array([row]), np.array([rank + 1]), edge)
 
     table = scratch.table(ordered.mapInArrow(number, schema), tag)
     parts = sorted(table.where("_edge IS NOT NULL").select("_pid", "_row", "_name", "_edge").collect(), key=lambda r: r._pid)
-    rows = names_ = 0
+    total = names = 0
     before, shift = None, []
     for p in parts:
-        same = before is not None and before == p._edge[0]
-        names_ -= same
-        shift.append((p._pid, rows, names_))
-        rows, names_, before = rows + p._row, names_ + p._name, p._edge[1]
+        if by_hash and before is not None and before[3]._h == p._edge[0]._h and not before[2] == before[3] == p._edge[0] == p._edge[1]:
+            raise _Collision
+        same = before is not None and before[3] == p._edge[0]
+        names -= same
+        shift.append((p._pid, total, names))
+        total, names, before = total + p._row, names + p._name, p._edge
     offsets = scratch.spark.createDataFrame(shift or [(0, 0, 0)], "_pid int, _r long, _n long")
     numbered = table.where("_edge IS NULL").join(F.broadcast(offsets), "_pid")
-    return numbered.select(*keep, (F.col("_row") + F.col("_r")).alias("row"), (F.col("_name") + F.col("_n")).alias("name")), rows, names_
+    return numbered.select(*keep, (F.col("_row") + F.col("_r")).alias("row"), (F.col("_name") + F.col("_n")).alias("name")), total, names
 
 
 def differs(c: pa.Array) -> np.ndarray:

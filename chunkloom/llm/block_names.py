@@ -30,7 +30,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text")).where("_text IS NOT NULL").withColumn("uid", F.monotonically_increasing_id())
     blocks = F.greatest(F.lit(1), F.ceil(F.length("_text") / block_chars)).cast("int")
     rows = rows.select("doc_id", "uid", blocks.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.substring(F.col("_text"), i * block_chars + 1, F.lit(block_chars)))).alias("pos", "block"))
-    named, count, _ = global_order(scratch, rows, ["block"], "level0", ["uid", "doc_id", "n", "pos"])
+    named, count, _ = global_order(scratch, rows, ["block"], "level0", ["uid", "doc_id", "n", "pos"], by_hash=True)
     done = named.where("n = 1").select("doc_id", "uid", F.lit(0).alias("level"), "name")
     level, longest = 0, named.where("n > 1").agg(F.max("n")).collect()[0][0] or 1
     now = named

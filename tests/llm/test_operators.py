@@ -291,6 +291,17 @@ def test_names_are_equal_for_equal_texts_only(spark):
     assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)
 
 
+def test_names_of_texts_with_one_hash(spark, monkeypatch):
+    """Were all hashes equal, values would still be told apart."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(F, "xxhash64", lambda *_: F.lit(0).cast("long"))
+    rng = random.Random(16)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 6]))) for _ in range(300)]
+    got = block_names.identities(table(spark, list(enumerate(texts))).repartition(3), block_chars=4).collect()
+    assert len({(texts[r.doc_id], r.level, r.name) for r in got}) == len(set(texts)) == len({(r.level, r.name) for r in got})
+
+
 # --- 7 ----------------------------------------------------------------------
 
 
