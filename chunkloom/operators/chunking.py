@@ -400,9 +400,10 @@ def fixed_chunks(docs: DataFrame, size: int, overlap: int = 0, namespace: str =
     chunker = Fixed(size=size, overlap=overlap, namespace=namespace)
     step = size - overlap
     text = tx.nfc(F.col("text")) if unicode_form else F.col("text")
-    w = docs.select(F.col("document_id").cast("string"), tx.marked_words(text).alias("w")).where(F.size("w") > 0)
+    w = docs.select(F.col("document_id").cast("string"), tx.marked_words(text).alias("w"))
     n = F.size("w")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - overlap) / step) - 1).cast("int"))
+    # a null array explodes to no row; a filter on n would be pushed down and tokenise every text twice
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - overlap) / step) - 1).cast("int")))
     cut = w.select("document_id", "w", F.posexplode(F.transform(starts, lambda k: k * step)).alias("position", "start_word"))
     cut = cut.withColumn("end_word", F.least(F.col("start_word") + size, n))
     body = tx.join_words(F.slice("w", F.col("start_word") + 1, F.col("end_word") - F.col("start_word")))
