@@ -7,9 +7,6 @@ so a lost executor costs only its running tasks.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -20,25 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..shared import shared_dir
 from ._text import column
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only in local mode."""
-    set_ = spark.conf.get("spark.checkpoint.dir", None)
-    if set_:
-        return set_.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if "dir" not in _OWN:
-        _OWN["dir"] = tempfile.mkdtemp(prefix="chunkloom-")
-        atexit.register(shutil.rmtree, _OWN["dir"], True)
-    return "file://" + _OWN["dir"]
-
-
 class Scratch:
     """Tables of one operator run; ``drop`` removes those no longer needed."""
 
