@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from ._dist import fresh
 
-SHARD_BYTES = 8 << 20
-OVERSAMPLE = 64
+SHARD_BYTES = 128 << 20
+OVERSAMPLE = 32
 TOLERANCE = 1.5
 
 
