@@ -160,7 +160,10 @@ def learn_lexicon(labelled: DataFrame, least: int = 4, share: float = 0.01, rati
         return np.zeros(0, np.uint64)
     split = F.split(F.lower("text"), "[ \\t\\n\\x0B\\f\\r]+")
     family = F.array_min(F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit("")))))
-    rows = labelled.select((F.col("y") == 2).alias("t"), split.alias("w")).select("t", F.when(F.col("t"), family).alias("family"), F.explode(F.array_distinct(F.transform("w", lambda w: F.rtrim(F.translate(w, ".,;:!?#$%&*", " " * 11))))).alias("word"))
+    words = F.array_distinct(F.transform("w", lambda w: F.rtrim(F.translate(w, ".,;:!?#$%&*", " " * 11))))
+    # the family is made below the explode: above it, it would be made again for every word
+    texts = labelled.select((F.col("y") == 2).alias("t"), split.alias("w")).select("t", F.when(F.col("t"), family).alias("family"), words.alias("words"))
+    rows = texts.select("t", "family", F.explode("words").alias("word"))
     df = rows.where("length(word) between 3 and 64").groupBy("word", "family").agg(F.count_if("t").alias("t"), F.count("*").alias("n")).groupBy("word").agg(F.count("family").alias("families"), F.sum("t").alias("t"), F.sum("n").alias("n"))
     rate = (F.col("t") / toxic) / ((F.col("n") - F.col("t") + 1) / max(1, other))
     chosen = [r.word for r in df.where((F.col("families") >= max(least, share * toxic)) & (rate >= ratio)).select("word").collect()]
