@@ -1,18 +1,24 @@
 """A hidden Markov language model over words (operator 5).
 
-Symbols are word hashes folded into a fixed number of buckets, so the model
-has a fixed size and every word of every text is scored.
+Every word of the corpus, told by its 64-bit hash, has emissions of its own: the
+vocabulary is a table in the shared folder that grows with the corpus (Corpus,
+corpus_scores).  train and scores are the same for words folded into a given number of symbols.
 """
 
 from __future__ import annotations
 
+import itertools
+import logging
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._dist import Scratch
 from ._text import column, slices, spans, word_hashes
 
 STATES = 8
@@ -20,6 +26,15 @@ SYMBOLS = 1 << 16
 ROUNDS = 3
 SMOOTH = 0.01
 SLICE_WORDS = 400_000
+PRIOR = 1.0  # counts added to each word's, spread over the states as its class is
+CLASSES = 66
+TOLERANCE = 0.01  # bits a word
+BLOCK_WORDS, BLOCK_TEXTS, PART_WORDS, SIDES = 6_000_000, 200_000, 500_000, 64
+START_TEXTS, START_CHARS, START_ROUNDS = 2_000, 600, 40
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -108,9 +123,14 @@ def _lattices(texts: pa.Array, symbols: int):
     if not parts:
         return
     base = np.cumsum([0] + [len(s) for _, s, _ in parts])
-    flat = np.concatenate([s for _, s, _ in parts])
     begin = np.concatenate([f[:-1] + b for (_, _, f), b in zip(parts, base)])
-    length = np.concatenate([np.diff(f) for _, _, f in parts])
+    yield from _grouped(np.concatenate([s for _, s, _ in parts]), begin, np.concatenate([np.diff(f) for _, _, f in parts]))
+
+
+def _grouped(flat: np.ndarray, begin: np.ndarray, length: np.ndarray):
+    """As _lattices, of texts of the given begins and lengths in flat."""
+    if not len(length):
+        return
     order = np.argsort(length, kind="stable")
     group = np.cumsum(length[order]) // SLICE_WORDS
     for rows in np.split(order, np.flatnonzero(np.diff(group)) + 1):
@@ -188,6 +208,312 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(score, f"doc_id {kind}, n_words long, log_likelihood double, bits_per_word double")
 
 
-def language_model_scores(docs: DataFrame, **how) -> DataFrame:
-    """Trains on docs and scores docs; see train and scores."""
-    return scores(docs, train(docs, **how))
+# --- a model whose vocabulary is that of the corpus --------------------------
+
+
+@dataclass
+class Shape:
+    """What is of a fixed size: initial[s], step[s, t], and how counts become emissions.
+
+    emit[word, s] = (count[word, s] + PRIOR x share[class, s]) / norm[s].  A word's class is the
+    binary logarithm of how often the corpus holds it, share the states' share of all counts of
+    that class; class 0, of words never seen, has the share of the words seen once.
+    """
+
+    initial: np.ndarray
+    step: np.ndarray
+    share: np.ndarray
+    norm: np.ndarray
+
+    def emissions(self, counts: np.ndarray) -> np.ndarray:
+        return (counts + PRIOR * self.share[classes(counts.sum(1))]) / self.norm
+
+
+def classes(n: np.ndarray) -> np.ndarray:
+    """0 for words never seen, else 1 + the binary logarithm, rounded down; n is whole but for rounding."""
+    return np.where(n < 0.5, 0, 1 + np.floor(np.log2(np.maximum(n, 1) * 1.0001))).astype(np.int64)
+
+
+def class_sums(counts: np.ndarray) -> np.ndarray:
+    """For each class the sum of its words' counts by state, and last how many words it has."""
+    k = classes(counts.sum(1))
+    out = np.stack([np.bincount(k, c, minlength=CLASSES) for c in [*counts.T, np.ones(len(k))]], 1)
+    out[0] = 0
+    return out
+
+
+def shape(initial: np.ndarray, step: np.ndarray, sums: np.ndarray, smooth: float = SMOOTH) -> Shape:
+    """The model of expected counts; sums: see class_sums."""
+    norm = lambda x: x / x.sum(-1, keepdims=True)
+    by_state, size = sums[:, :-1], sums[:, -1].copy()
+    share = norm(by_state + smooth)
+    share[0], size[0] = share[1], 1  # one place for what was never seen
+    return Shape(norm(initial + smooth), norm(step + smooth), share, by_state.sum(0) + PRIOR * (size[:, None] * share).sum(0))
+
+
+def _expected(model: Model, ids: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of words, of first states and of steps, and the log-likelihood."""
+    size, states = model.emit.shape
+    emit, initial, step, total = np.zeros((size, states)), np.zeros(states), np.zeros((states, states)), 0.0
+    for _, lattice in _grouped(ids, begin, length):
+        i, t, gamma, ll = lattice.counts(model)
+        for s in range(states):
+            emit[:, s] += np.bincount(lattice.symbols, gamma[:, s], minlength=size)
+        initial, step, total = initial + i, step + t, total + ll
+    return emit, initial, step, total
+
+
+def start(texts: pa.Array, states: int, seed: int = 3) -> tuple[Shape, np.ndarray, np.ndarray]:
+    """A model with broken symmetry, from START_ROUNDS rounds over a bounded sample; the sample's words, sorted, and their counts.
+
+    It is only where the rounds over all texts begin: a word that the sample doesn't hold has the emissions of class 0.
+    """
+    parts = [(word_hashes(buf, starts), np.diff(first)) for _, _, buf, offs in slices(texts) for starts, _, first in [spans(buf, offs)]]
+    flat, length = (np.concatenate([p[k] for p in parts] or [np.zeros(0, t)]) for k, t in ((0, np.uint64), (1, np.int64)))
+    words, ids = np.unique(flat, return_inverse=True)
+    rng = np.random.default_rng(seed)
+    counts = np.bincount(ids, minlength=len(words))[:, None] * rng.dirichlet(np.full(states, 0.5), len(words))
+    now = shape(np.ones(states), np.eye(states) + 1 / states, class_sums(counts))
+    for _ in range(START_ROUNDS if len(flat) else 0):
+        counts, initial, step, _ = _expected(Model(now.initial, now.step, now.emissions(counts)), ids.astype(np.int32), np.cumsum(length) - length, length)
+        now = shape(initial, step, class_sums(counts))
+    return now, words, counts
+
+
+def _files(root: str, name: str):
+    fs, path = pafs.FileSystem.from_uri(root)
+    return fs, f"{path}/{name}"
+
+
+def _put(root: str, name: str, values: np.ndarray) -> None:
+    fs, path = _files(root, name)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}"  # a repeated task's file replaces the whole file
+    with fs.open_output_stream(part) as f:
+        f.write(np.ascontiguousarray(values).tobytes())
+    fs.move(part, path)
+
+
+def _get(root: str, name: str, kind) -> np.ndarray:
+    fs, path = _files(root, name)
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return np.zeros(0, kind)
+    with fs.open_input_stream(path) as f:
+        return np.frombuffer(f.read(), kind)
+
+
+def _runs(batches, key: str):
+    """(key, rows) of a stream that is sorted by key."""
+    rows = (r for b in batches for r in b.to_pylist())
+    return itertools.groupby(rows, lambda r: r[key])
+
+
+class Corpus:
+    """The texts as blocks of BLOCK_WORDS words in the shared folder, each with its own sorted vocabulary and its words as places in it.
+
+    A word's counts lie beside each block that holds it.  Those of words of a single block never leave it; those
+    of the other words meet by ranges of word hashes in one shuffle and return to the blocks, summed, in a second one.
+    """
+
+    def __init__(self, docs: DataFrame, learn: str) -> None:
+        self.spark = docs.sparkSession
+        self.scratch = Scratch(self.spark, "hmm")
+        self.id_type = docs.schema["doc_id"].dataType.simpleString()
+        rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.expr(learn), F.lit(False)).alias("learn"))
+        self.sample = rows.where("learn AND length(text) > 0").select(F.substring("text", 1, START_CHARS).alias("text")).orderBy(F.xxhash64("text"), "text").limit(START_TEXTS)
+        self.blocks = self.scratch.table(rows.mapInArrow(_blocks, f"block long, doc_id array<{self.id_type}>, length binary, learn binary, ids binary, words binary"), "blocks")
+        n = self.blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("size")).first()
+        self.n_blocks, self.parts = max(1, n.blocks), 1 + n.size // 8 // PART_WORDS
+        self._exchange(self._occurrences(), _shared, "places")
+
+    def _occurrences(self):
+        parts = self.parts
+
+        def occurrences(batches):
+            for r in _rows(batches):
+                yield _cut(parts, r.block, r.words, np.arange(len(r.words), dtype=np.int32))
+
+        return occurrences
+
+    def _exchange(self, out, add, to: str) -> list[np.ndarray]:
+        """Runs out over the blocks, add over what it gives for each range of words; writes each block's part to a file of the folder ``to``."""
+        root = self.scratch.root
+
+        def put(batches):
+            for block, rows in _runs(batches, "block"):
+                if block < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([sum(np.frombuffer(r["vals"]) for r in rows).tobytes()], pa.binary())], ["vals"])
+                    continue
+                _put(root, f"{to}/{block}", np.concatenate([np.frombuffer(r["vals"], np.int32) for r in rows]))  # ranges in the order of the block's words
+
+        kept = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")  # a round's shuffles go when it ends, not when the driver collects its garbage
+        chunks = self.blocks.mapInArrow(out, "part int, block long, words binary, vals binary")
+        summed = chunks.repartition(self.parts, "part").sortWithinPartitions("part").mapInArrow(add, "block long, part int, vals binary")
+        got = summed.repartition(self.n_blocks, "block").sortWithinPartitions("block", "part").mapInArrow(put, "vals binary").collect()
+        self.spark.conf.set(CLEANUP, kept)
+        return [np.frombuffer(bytes(r.vals)) for r in got]
+
+    def round(self, given, r: int, states: int) -> tuple[Shape, float, float]:
+        """One round of Baum-Welch from the model of round r: the next one, the log-likelihood of round r's and the number of words."""
+        root, parts = self.scratch.root, self.parts
+
+        def expect(batches):
+            for b in _rows(batches):
+                emit, places, local = b.emissions(root, given.value, r)
+                length, learn = b.length, b.learn
+                begin = np.cumsum(length) - length
+                counts, initial, step, ll = _expected(Model(given.value[0].initial, given.value[0].step, emit), b.ids, begin[learn], length[learn])
+                own = counts[local].astype(np.float32)
+                _put(root, f"local-{r + 1}/{b.block}", own)
+                extra = np.concatenate([initial, step.ravel(), class_sums(own.astype(float)).ravel(), [ll, length[learn].sum()]])
+                yield _cut(parts, b.block, b.words[places], counts[places].astype(np.float32))
+                side = -1 - b.block % SIDES
+                yield pa.RecordBatch.from_arrays([pa.array([side], pa.int32()), pa.array([side]), *[pa.array([x], pa.binary()) for x in (b"", extra.tobytes())]], ["part", "block", "words", "vals"])
+
+        def add(batches):
+            for part, rows in _runs(batches, "part"):
+                rows = list(rows)
+                if part < 0:
+                    yield _sent(part, [(r["block"], r["vals"]) for r in rows])
+                    continue
+                each = [np.frombuffer(r["words"], np.uint64) for r in rows]
+                _, inverse = np.unique(np.concatenate(each), return_inverse=True)
+                vals = np.concatenate([np.frombuffer(r["vals"], np.float32) for r in rows]).reshape(-1, states)
+                total = np.stack([np.bincount(inverse, v) for v in vals.T], 1).astype(np.float32)
+                ends = np.cumsum([len(w) for w in each])
+                extra = np.concatenate([np.zeros(states + states * states), class_sums(total.astype(float)).ravel(), np.zeros(2)])
+                yield _sent(part, [(r["block"], total[i].tobytes()) for r, i in zip(rows, np.split(inverse, ends[:-1]))] + [(-1 - part % SIDES, extra.tobytes())])
+
+        got = self._exchange(expect, add, f"shared-{r + 1}")
+        self.scratch.drop(f"local-{r}", f"shared-{r}")
+        x = sum(got) if got else np.zeros(states + states * states + CLASSES * (states + 1) + 2)
+        a, b = states, states + states * states
+        return shape(x[:a], x[a:b].reshape(states, states), x[b:-2].reshape(CLASSES, states + 1)), x[-2], x[-1]
+
+    def scores(self, given, r: int) -> DataFrame:
+        root = self.scratch.root
+
+        def score(batches):
+            for b in _rows(batches):
+                emit, _, _ = b.emissions(root, given.value, r)
+                model, n = Model(given.value[0].initial, given.value[0].step, emit), b.length
+                ll = np.zeros(len(n))
+                for rows, lattice in _grouped(b.ids, np.cumsum(n) - n, n):
+                    ll[rows] = lattice.likelihoods(lattice.forward(model)[1], len(rows))
+                bits = pa.array(-ll / np.log(2) / np.maximum(n, 1), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([b.doc_id, pa.array(n), pa.array(ll), bits], ["doc_id", "n_words", "log_likelihood", "bits_per_word"])
+
+        return self.blocks.mapInArrow(score, f"doc_id {self.id_type}, n_words long, log_likelihood double, bits_per_word double")
+
+
+@dataclass
+class _Block:
+    block: int
+    doc_id: pa.Array
+    length: np.ndarray
+    learn: np.ndarray
+    ids: np.ndarray
+    words: np.ndarray
+
+    def emissions(self, root: str, given, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Emissions of the block's words in round r, the places of words that other blocks hold too, and those of the others."""
+        model, words, counts = given
+        places = _get(root, f"places/{self.block}", np.int32)
+        own = np.ones(len(self.words), bool)
+        own[places] = False
+        local, states = np.flatnonzero(own), len(model.initial)
+        here = np.zeros((len(self.words), states))
+        if r:
+            here[local] = _get(root, f"local-{r}/{self.block}", np.float32).reshape(-1, states)
+            here[places] = _get(root, f"shared-{r}/{self.block}", np.float32).reshape(-1, states)
+        elif len(words):
+            at = np.minimum(np.searchsorted(words, self.words), len(words) - 1)
+            here = np.where((words[at] == self.words)[:, None], counts[at], 0)
+        return model.emissions(here), places, local
+
+
+def _rows(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            raw = lambda name, kind: np.frombuffer(column(batch, name)[k].as_buffer(), kind)  # noqa: B023, E731
+            yield _Block(column(batch, "block")[k].as_py(), column(batch, "doc_id")[k].values, raw("length", np.int64), raw("learn", bool), raw("ids", np.int32), raw("words", np.uint64))
+
+
+def _blocks(batches):
+    from pyspark import TaskContext
+
+    pid, k, held, size, texts = TaskContext.get().partitionId(), 0, [], 0, 0
+
+    def block():
+        ids, length, learn, words = zip(*held)
+        vocabulary, places = np.unique(np.concatenate(words), return_inverse=True)
+        ids = pa.concat_arrays(ids)
+        blob = lambda x: pa.array([x.tobytes()], pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([(pid << 32) + k]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), blob(np.concatenate(length).astype(np.int64)), blob(np.concatenate(learn)), blob(places.astype(np.int32)), blob(vocabulary)],
+            ["block", "doc_id", "length", "learn", "ids", "words"],
+        )
+
+    for b in batches:
+        ids, learn = column(b, "doc_id"), column(b, "learn").to_numpy(zero_copy_only=False)
+        for lo, hi, buf, offs in slices(column(b, "text")):
+            starts, _, first = spans(buf, offs)
+            held.append((ids[lo:hi], np.diff(first), learn[lo:hi], word_hashes(buf, starts)))
+            size, texts = size + len(starts), texts + hi - lo
+            if size >= BLOCK_WORDS or texts >= BLOCK_TEXTS:
+                yield block()
+                k, held, size, texts = k + 1, [], 0, 0
+    if held:
+        yield block()
+
+
+def _cut(parts: int, block: int, words: np.ndarray, vals: np.ndarray) -> pa.RecordBatch:
+    """Rows (part, block, words, vals): sorted words cut into ranges of the upper half of their hash."""
+    of = ((words >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]) if len(of) else np.zeros(1, np.int64)
+    cuts = list(zip(edge, edge[1:]))
+    blob = lambda x: pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(of[edge[:-1]].astype(np.int32)), pa.array(np.full(len(cuts), block)), blob(words), blob(vals)], ["part", "block", "words", "vals"])
+
+
+def _sent(part: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "part", "vals"])
+
+
+def _shared(batches):
+    """To each block the places of its words that another block holds too."""
+    for part, rows in _runs(batches, "part"):
+        rows = list(rows)
+        each = [np.frombuffer(r["words"], np.uint64) for r in rows]
+        _, inverse, n = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        many = np.split(n[inverse] > 1, np.cumsum([len(w) for w in each])[:-1])
+        yield _sent(part, [(r["block"], np.frombuffer(r["vals"], np.int32)[m].tobytes()) for r, m in zip(rows, many) if m.any()])
+
+
+def corpus_scores(docs: DataFrame, states: int = STATES, rounds: int | None = None, learn: str = "true") -> DataFrame:
+    """Rows as of scores, of a model with emissions for every word of the corpus.
+
+    Rounds of Baum-Welch over every word of the rows for which ``learn`` holds, until a round gains less
+    than TOLERANCE bits a word, or as many as given; every row is scored.  The driver gets sums of a fixed size.
+    """
+    corpus = Corpus(docs, learn)
+    spark = docs.sparkSession
+    model, words, counts = start(pa.array([r.text for r in corpus.sample.collect()], pa.string()), states)
+    none, r, before = np.zeros((0, states)), 0, -np.inf
+    given = spark.sparkContext.broadcast((model, words, counts))
+    while rounds is None or r < rounds:
+        model, ll, n = corpus.round(given, r, states)
+        given.unpersist()
+        given, r = spark.sparkContext.broadcast((model, words[:0], none)), r + 1
+        bits = ll / np.log(2) / max(n, 1)
+        log.info("round %d: %.4f bits a word before it", r, -bits)
+        if rounds is None and bits - before < TOLERANCE:
+            break
+        before = bits
+    return corpus.scores(given, r)
+
+
+def language_model_scores(docs: DataFrame, symbols: int | None = None, **how) -> DataFrame:
+    """Trains on docs and scores docs: by words (see corpus_scores), or where ``symbols`` is given with words folded into so many (see train and scores)."""
+    return corpus_scores(docs, **how) if symbols is None else scores(docs, train(docs, symbols=symbols, **how))

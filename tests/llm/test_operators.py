@@ -276,6 +276,36 @@ def test_training_on_partitions_is_training_on_all(spark):
     assert score(hmm.first_model(3, 64)) < score(hmm.train(docs, 3, 64, 1)) < score(one)
 
 
+def test_every_word_has_its_own_emissions(spark):
+    names = [f"w{i}" for i in range(90_000)]
+    h = lambda x: hmm.symbols_of(*raw(pa.array(x)), 1 << 16)[0]
+    twin = names[1 + int(np.flatnonzero(h(names[1:]) == h(names[:1])[0])[0])]
+    docs = [(i, " ".join([names[0]] * 20)) for i in range(50)] + [(100 + i, " ".join(names[k : k + 1000])) for i, k in enumerate(range(1, 90_000, 1000))] + [(200, twin), (201, names[0])]
+    got = {r.doc_id: r.bits_per_word for r in hmm.language_model_scores(table(spark, docs), states=2, rounds=1).collect()}
+    assert len(got) == len(docs) and got[200] > got[201] + 4
+
+
+def test_blocks_and_partitions_do_not_change_the_model(spark, monkeypatch):
+    texts = [(i, words(i, 40, 30)) for i in range(60)] + [(60, None), (None, ""), (61, "seen once here only")]
+    docs = table(spark, texts)
+    once = lambda n: {r.doc_id: r.log_likelihood for r in hmm.corpus_scores(docs.repartition(n), states=3, rounds=2).collect()}
+    one, many = once(1), once(7)
+    assert one[60] == one[None] == 0 and one[0] < 0
+    assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k], rel=1e-4) for k in one)
+    # the same rounds over all texts in memory
+    order = [r.text for r in docs.selectExpr("text", "xxhash64(text) AS h").where("length(text) > 0").orderBy("h", "text").collect()]
+    model, vocabulary, counts = hmm.start(pa.array(order), 3)
+    hashes, first = hmm.word_hashes(raw(pa.array(order))[0], hmm.spans(*raw(pa.array(order)))[0]), hmm.spans(*raw(pa.array(order)))[2]
+    ids, begin, length = np.searchsorted(vocabulary, hashes).astype(np.int32), first[:-1], np.diff(first)
+    for _ in range(2):
+        counts, initial, step, _ = hmm._expected(hmm.Model(model.initial, model.step, model.emissions(counts)), ids, begin, length)
+        model = hmm.shape(initial, step, hmm.class_sums(counts))
+    emit = model.emissions(counts)
+    assert np.allclose(emit.sum(0) + hmm.PRIOR * model.share[0] / model.norm, 1)
+    total = hmm._expected(hmm.Model(model.initial, model.step, emit), ids, begin, length)[3]
+    assert sum(one.values()) == pytest.approx(total, rel=1e-4)
+
+
 # --- 6 ----------------------------------------------------------------------
 
 
