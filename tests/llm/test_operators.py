@@ -1,6 +1,7 @@
 """The ten operators against brute force, and on awkward tables."""
 
 import gzip
+import collections
 import itertools
 import random
 import re
@@ -306,6 +307,17 @@ def test_blocks_and_partitions_do_not_change_the_model(spark, monkeypatch):
     assert sum(one.values()) == pytest.approx(total, rel=1e-4)
 
 
+def test_held_out_texts_beat_a_unigram(spark):
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"{'ab'[i % 2]}{k}" for k in rng.integers(0, 60, 40))) for i in range(300)]  # two languages of 60 words
+    rows = hmm.language_model_scores(table(spark, texts), states=4, learn="doc_id % 5 <> 0").collect()
+    held = [r for r in rows if r.doc_id % 5 == 0]
+    n = collections.Counter(w for i, t in texts if i % 5 for w in t.split())
+    total = sum(n.values()) + len(n) + 1
+    unigram = np.mean([-np.log2((n[w] + 1) / total) for i, t in texts if i % 5 == 0 for w in t.split()])
+    assert len(rows) == 300 and np.mean([r.bits_per_word for r in held]) < unigram - 0.5
+
+
 # --- 6 ----------------------------------------------------------------------
 
 
