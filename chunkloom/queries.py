@@ -303,10 +303,22 @@ def churn_grid(spark, sf):
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) DESC, vec_id LIMIT 20""")
 def cosine_top_k(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
-    vector = e.where("vec_id = 7").collect()[0].vector
+    found = e.where("vec_id = 7").collect()
+    if not found:
+        return e.select("vec_id", F.lit(0.0).alias("score")).limit(0)
+    vector = found[0].vector
     return retrieval.top_k(e, vector, 20, ("vec_id",)).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank, round(s, 6) AS score FROM r WHERE rank <= 20""")
+def cosine_top_k_every(spark, sf):
+    """The 20 nearest of every embedding, itself among them; none of an empty table."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    queries = e.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return retrieval.top_k_many(e, queries, 20, ("vec_id",)).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("SELECT vec_id, len(embedding) > 0 AND len(embedding) <= 65536 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS valid, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
 def vector_validity(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
