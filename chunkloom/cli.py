@@ -145,15 +145,26 @@ def _measure(args: argparse.Namespace, config: cf.Config) -> int:
         _show(_rows(measure.benchmark_churn(docs).orderBy("strategy", "operation")), args.json)
         return 0
     questions = spark.read.schema("question_id string, query string, evidence array<string>").json(args.questions)
+    from .functions import scoring
+    from .functions.text import holds_evidence
+    from .operators.embedding import HashProvider, embed
+
+    def vectors(df, key, text):
+        return embed(df.select(F.col(key).alias("chunk_hash"), F.col(text).alias("text"), F.lit(0).alias("token_count")), HashProvider()).select(F.col("chunk_hash").alias(key), "vector")
+
     out = []
     for name, chunker in measure.default_strategies().items():
         chunks = chunking.chunk_documents(docs, chunker).select(F.concat_ws(":", "document_id", "position").alias("chunk_id"), "text")
-        from .functions.text import holds_evidence
-
         relevant = chunks.crossJoin(questions).where(holds_evidence(F.col("text"), F.col("evidence"))).select("question_id", "chunk_id")
-        q = retrieval.retrieval_quality(retrieval.ranked(retrieval.tfidf_scores(chunks, questions)), relevant)
-        row = q.agg(F.avg("recall").alias("recall_at_5"), F.avg("ndcg").alias("ndcg_at_10"), F.count("*").alias("questions")).collect()[0].asDict()
-        out.append({"strategy": name} | row)
+        missing = questions.join(relevant, "question_id", "left_anti").select("question_id").orderBy("question_id").limit(5).collect()
+        if missing:
+            raise ValueError(f"strategy {name} has no chunk that holds the evidence of " + ", ".join(repr(r.question_id) for r in missing))
+        hashed = vectors(chunks, "chunk_id", "text").crossJoin(vectors(questions, "question_id", "query").withColumnRenamed("vector", "query_vector"))
+        hashed = hashed.select("question_id", "chunk_id", scoring.cosine(F.col("vector"), F.col("query_vector")).alias("score"))
+        for scorer, scores in (("lexical", retrieval.tfidf_scores(chunks, questions)), ("hash-embedding", hashed)):
+            q = retrieval.retrieval_quality(retrieval.ranked(scores), relevant)
+            row = q.agg(F.avg("recall").alias("recall_at_5"), F.avg("ndcg").alias("ndcg_at_10"), F.count("*").alias("questions")).collect()[0].asDict()
+            out.append({"strategy": name, "scorer": scorer} | row)
     _show(out, args.json)
     return 0
 
