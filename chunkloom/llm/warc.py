@@ -96,21 +96,39 @@ class _Source:
             if not raw:
                 self.over = True
                 return False
-            got = b""
-            try:
-                while raw:
-                    got += self.z.decompress(raw)
-                    raw = self.z.unused_data
-                    if self.z.eof:
-                        self.z = zlib.decompressobj(31)
-                        raw = raw.lstrip(b"\0")
-            except zlib.error:
-                self.over = True
+            got = self._inflated(raw)
             self.held += got
             if got:
                 return True
         return False
 
+    def _inflated(self, raw: bytes) -> bytes:
+        """raw decompressed; of a block with damage in it, all that comes before the damage."""
+        got = b""
+        try:
+            while raw:
+                start = self.z.copy()
+                got += self.z.decompress(raw)
+                raw = self.z.unused_data
+                if self.z.eof:
+                    self.z = zlib.decompressobj(31)
+                    raw = raw.lstrip(b"\0")
+            return got
+        except zlib.error:
+            pass
+        self.over, size = True, max(1, len(raw) // 2)
+        while raw:  # the call that failed once more, in pieces down to a byte
+            trial = start.copy()
+            try:
+                more = trial.decompress(raw[:size])
+            except zlib.error:
+                if size == 1:
+                    break
+                size = max(1, size // 2)
+                continue
+            got, start, raw = got + more, trial, raw[size:]
+        return got
+
 
 def rewrite(stream, out, name: str, level: int = LEVEL) -> list[dict]:
     """Copies every record of a WARC stream as a gzip member of its own to out; the index rows.
