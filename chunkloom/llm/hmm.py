@@ -499,7 +499,7 @@ def corpus_scores(docs: DataFrame, states: int = STATES, rounds: int | None = No
     """
     corpus = Corpus(docs, learn)
     spark = docs.sparkSession
-    model, words, counts = start(pa.array([r.text for r in corpus.sample.collect()], pa.string()), states)
+    model, words, counts = start(pa.array([r.text for r in corpus.scratch.table(corpus.sample, "sample").collect()], pa.string()), states)
     none, r, before = np.zeros((0, states)), 0, -np.inf
     given = spark.sparkContext.broadcast((model, words, counts))
     while rounds is None or r < rounds:
