@@ -16,7 +16,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_pairs(_read(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:

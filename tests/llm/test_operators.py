@@ -50,7 +50,7 @@ def test_every_operator_on_awkward_and_empty_tables(spark, awkward, labels):
     pages = spark.createDataFrame([(1, "http://a\r\nX: y", "<p>ü"), (None, None, None), (1, "http://a\r\nX: y", "<p>ü")], "page_id long, url string, html string")
     runs = {
         "quality": lambda d: quality.quality_scores(d, labels),
-        "join": ngram_join.jaccard_pairs,
+        "join": ngram_join.near_duplicates,
         "packing": packing.packed,
         "names": block_names.exact_duplicates,
         "secrets": secret_scan.scan,
@@ -73,7 +73,8 @@ def test_every_operator_on_awkward_and_empty_tables(spark, awkward, labels):
     assert all(r.score is None and not r.keep for r in got["quality"] if r.doc_id in (3, 4, 5, 6))
     assert sum(r.length for r in got["packing"]) == sum(len((t or "").split()) for _, t in AWKWARD)
     assert {(r.doc_id, r.n_words) for r in got["hmm"]} >= {(3, 0), (4, 0), (6, 0), (7, 1), (8, 30_000)}
-    assert sorted((r.doc_a, r.doc_b) for r in got["join"]) == [(1, 2), (8, 9), (8, 10)]
+    joined = {(r.doc_id, r.class_id, r.copy_of, r.links) for r in got["join"]}
+    assert joined == {(1, 1, 1, 1), (2, 1, 1, 1), (7, 7, 7, 0), (8, 8, 8, 2), (9, 8, 8, 2), (10, 8, 10, 2)} | {(i, i, i, 0) for i in (3, 4, 5, 6)} and len(got["join"]) == 11
     assert {r.doc_id for r in got["suffixes"]} == {8, 9, 10}
     assert {(r.doc_id, r.item_id) for r in got["leaks"]} == {(1, 1), (2, 1), (None, 1), (8, None), (9, None), (10, None)}
     kept = sorted((r.doc_id or 0, r.text) for r in got["keep_first"] if r.text is not None)
@@ -140,17 +141,40 @@ def test_join_finds_the_pairs_of_brute_force(spark):
         for _ in range(rng.randrange(4)):
             copy = [w if rng.random() > rng.choice([0, 0.03, 0.08]) else f"e{rng.randrange(10**6)}" for w in base]
             texts.append(" ".join(copy))
+    docs = table(spark, list(enumerate(texts)))
+    want = brute_classes(texts)
+    for how in ({}, {"cell_docs": 2}, {"cell_grams": 150}):  # components of several blocks
+        got = {r.doc_id: (r.class_id, r.copy_of, r.links) for r in ngram_join.near_duplicates(docs, **how).collect()}
+        assert sum(got[i] != want[i] for i in range(len(texts))) <= 0.05 * len(texts) and got.keys() == set(range(len(texts)))
+        assert all(got[i][1] == want[i][1] and got[i][2] <= want[i][2] for i in got) and sum(w[2] for w in want) > 100
+    named = docs.selectExpr("concat('d', lpad(doc_id, 3, '0')) AS doc_id", "text")  # ids that aren't numbers
+    assert {(int(r.doc_id[1:]), int(r.class_id[1:]), r.links) for r in ngram_join.near_duplicates(named).collect()} == {(i, g[0], g[2]) for i, g in ((r.doc_id, (r.class_id, r.copy_of, r.links)) for r in ngram_join.near_duplicates(docs).collect())}
+
+
+def brute_classes(texts):
+    """(class, copy_of, links) of each text, from all pairs."""
     sets = [grams(t) for t in texts]
     first = {}
-    rep = [first.setdefault(frozenset(s), i) for i, s in enumerate(sets)]
-    want = {(i, j) for i, j in itertools.combinations(sorted(set(rep)), 2) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= ngram_join.THRESHOLD}
-    docs = table(spark, list(enumerate(texts)))
-    for how in ({}, {"cell_docs": 2}):  # cells split into blocks
-        got = ngram_join.jaccard_pairs(docs, **how).collect()
-        near = {(r.doc_a, r.doc_b): r.jaccard for r in got if r.doc_a in first.values() and rep[r.doc_b] == r.doc_b}
-        assert {(r.doc_a, r.doc_b) for r in got} - set(near) == {(rep[i], i) for i in range(len(texts)) if rep[i] != i}
-        assert set(near) <= want and len(near) >= 0.9 * len(want) > 20
-        assert all(v == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for (a, b), v in near.items())
+    copy = [first.setdefault(frozenset(s), i) for i, s in enumerate(sets)]
+    near = [[j for j in range(len(texts)) if j != i and len(sets[i] & sets[j]) >= ngram_join.THRESHOLD * len(sets[i] | sets[j]) > 0] for i in range(len(texts))]
+    group = list(range(len(texts)))
+    for _ in texts:
+        group = [min([group[i], *(group[j] for j in near[i])]) for i in range(len(texts))]
+    return [(group[i], copy[i], len(near[i])) for i in range(len(texts))]
+
+
+def test_a_component_of_twenty_thousand_texts(spark):
+    """Every text shares 40 words with every other: one class, each joined to all others; blocks and levels lose no link."""
+    base = words(1, 40, 10**6)
+    docs = spark.range(20_000).selectExpr("id AS doc_id", f"concat('{base} x', id, ' y', id % 7) AS text")
+    got = ngram_join.near_duplicates(docs).groupBy("class_id", "links").count().collect()
+    assert [(r.class_id, r.links, r["count"]) for r in got] == [(0, 19_999, 20_000)]
+
+
+def test_an_id_with_two_texts_keeps_a_row_of_each_group(spark):
+    a, b = words(5, 30), words(6, 30)
+    docs = table(spark, [(1, a), (2, a), (2, b), (3, b), (4, b + " more")])
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == [1, 2, 2]
 
 
 def test_gram_sets_and_chains():
