@@ -24,8 +24,9 @@ def rows(name):
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    path = f"{SF}/documents.parquet"
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')" if os.path.isdir(path) else f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}')")
+    for table in ("documents", "pages", "benchmark", "labels"):
+        path = f"{SF}/{table}.parquet"
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}/*.parquet')" if os.path.isdir(path) else f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}')")
     got = queries.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
