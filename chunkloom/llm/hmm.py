@@ -1,8 +1,9 @@
 """A hidden Markov language model over words (operator 5).
 
-Every word of the corpus, told by its 64-bit hash, has emissions of its own: the
-vocabulary is a table in the shared folder that grows with the corpus (Corpus,
-corpus_scores).  train and scores are the same for words folded into a given number of symbols.
+Every word of the corpus, told by its 64-bit hash, has an emission probability of its own: the
+vocabulary is a set of tables in the shared folder that grow with the corpus.  Words
+seen at least twice have a distribution over the states of their own as well; those
+seen once share that of their class.
 """
 
 from __future__ import annotations
@@ -22,10 +23,9 @@ from ._dist import Scratch
 from ._text import column, slices, spans, word_hashes
 
 STATES = 8
-SYMBOLS = 1 << 16
-ROUNDS = 3
 SMOOTH = 0.01
 SLICE_WORDS = 400_000
+LONG, STRETCH = 1 << 14, 1 << 10  # texts of more words are cut into stretches of so many
 PRIOR = 1.0  # counts added to each word's, spread over the states as its class is
 CLASSES = 66
 TOLERANCE = 0.01  # bits a word
@@ -46,23 +46,14 @@ class Model:
     emit: np.ndarray
 
 
-def first_model(states: int, symbols: int, seed: int = 3) -> Model:
-    """Near-uniform and seeded: the same on every run."""
-    rng = np.random.default_rng(seed)
-    share = lambda x: x / x.sum(-1, keepdims=True)
-    emit = rng.random((symbols, states)) + 0.5
-    return Model(share(rng.random(states) + 1), share(rng.random((states, states)) + 1), emit / emit.sum(0))
-
-
-def symbols_of(buf: np.ndarray, offs: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    starts, _, first = spans(buf, offs)
-    return (word_hashes(buf, starts) % np.uint64(symbols)).astype(np.int32), first
-
-
 class Lattice:
-    """The texts' symbols in time-major order: at each time those texts that are long enough, longest first."""
+    """The texts' symbols in time-major order: at each time those texts that are long enough, longest first.
 
-    def __init__(self, symbols: np.ndarray, first: np.ndarray) -> None:
+    A text may be a stretch of a longer one: start and end then hold what comes before it (weights of the states at its
+    first symbol) and after it (the backward variable at its last one, up to a factor), see stretches.
+    """
+
+    def __init__(self, symbols: np.ndarray, first: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> None:
         length = np.diff(first)
         self.order = np.argsort(-length, kind="stable")
         self.order = self.order[: int((length > 0).sum())]
@@ -74,6 +65,9 @@ class Lattice:
         doc = np.arange(self.at[-1]) - np.repeat(self.at[:-1], self.active)
         self.doc = doc
         self.symbols = symbols[begin[doc] + np.repeat(np.arange(longest), self.active)]
+        self.start = None if start is None else start[self.order]
+        self.end = None if end is None else end[self.order]
+        self.last = self.at[length - 1] + np.arange(len(length)) if len(length) else np.zeros(0, np.int64)
 
     def forward(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scaled forward variables, scale factors and emissions, all time-major."""
@@ -87,7 +81,7 @@ class Lattice:
                 np.matmul(alpha[before : before + hi - lo], m.step, out=now)
                 now *= e[lo:hi]
             else:
-                np.multiply(m.initial, e[lo:hi], out=now)
+                np.multiply(m.initial if self.start is None else self.start, e[lo:hi], out=now)
             c = now.sum(1)
             scale[lo:hi] = c
             now /= c[:, None]
@@ -104,6 +98,9 @@ class Lattice:
         alpha, scale, e = self.forward(m)
         e /= scale[:, None]
         beta = np.ones_like(alpha)
+        if self.end is not None:
+            given = self.end / (alpha[self.last] * self.end).sum(1)[:, None]
+            beta[self.last] = given
         step = np.ascontiguousarray(m.step.T)
         for t in range(len(self.active) - 2, -1, -1):
             lo, n = self.at[t], self.active[t + 1]
@@ -117,18 +114,48 @@ class Lattice:
         return alpha[: self.at[1]].sum(0) if len(self.active) else np.zeros(len(m.initial)), trans, alpha, float(np.log(scale).sum())
 
 
-def _lattices(texts: pa.Array, symbols: int):
-    """(rows, lattice) of groups of texts of similar length, of about SLICE_WORDS words each."""
-    parts = [(lo, *symbols_of(buf, offs, symbols)) for lo, _, buf, offs in slices(texts)]
-    if not parts:
-        return
-    base = np.cumsum([0] + [len(s) for _, s, _ in parts])
-    begin = np.concatenate([f[:-1] + b for (_, _, f), b in zip(parts, base)])
-    yield from _grouped(np.concatenate([s for _, s, _ in parts]), begin, np.concatenate([np.diff(f) for _, _, f in parts]))
-
+def stretches(m: Model, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """A long text cut into stretches of STRETCH symbols: their begins, and for each the state weights at its first symbol given
+    all before it and the backward variable at its last symbol given all after it; the expected first state; the expected steps
+    between stretches; log P.
 
-def _grouped(flat: np.ndarray, begin: np.ndarray, length: np.ndarray):
-    """As _lattices, of texts of the given begins and lengths in flat."""
+    Each stretch is a product of matrices, step x emissions symbol by symbol, so the products of all stretches are made side by side
+    and only these products one after another: STRETCH steps in numpy and as many small ones as there are stretches, exact for any length.
+    """
+    n, states = len(symbols), len(m.initial)
+    begin = np.arange(0, n, STRETCH)
+    number = len(begin)
+    whole = np.full((number, STRETCH), -1, np.int64)
+    whole.reshape(-1)[:n] = symbols
+    product, log = np.broadcast_to(np.eye(states), (number, states, states)).copy(), np.zeros(number)
+    for t in range(STRETCH):
+        live = number if whole[-1, t] >= 0 else number - 1  # only the last one is shorter
+        e = m.emit[whole[:live, t]][:, None, :]
+        now = (product[:live].reshape(-1, states) @ m.step).reshape(live, states, states) * e if t else product[:live] * e  # rows: the state at the first symbol
+        c = now.sum((1, 2))
+        product[:live] = now / c[:, None, None]
+        log[:live] += np.log(c)
+    start, end = np.empty((number, states)), np.ones((number, states))
+    carry, total = m.initial, 0.0
+    for k in range(number):
+        start[k] = carry
+        out = carry @ product[k]
+        total += log[k] + np.log(out.sum())
+        carry = out / out.sum() @ m.step
+    for k in range(number - 2, -1, -1):
+        back = m.step @ (product[k + 1] @ end[k + 1])
+        end[k] = back / back.sum()
+    between = np.zeros((states, states))
+    for k in range(number - 1):
+        before, after = start[k] @ product[k], product[k + 1] @ end[k + 1]
+        joint = before[:, None] * m.step * after[None, :]
+        between += joint / joint.sum()
+    first = start[0] * (product[0] @ end[0])
+    return begin, start, end, first / first.sum(), between, total
+
+
+def _grouped(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None):
+    """(rows, lattice) of groups of texts of similar length, of about SLICE_WORDS words each; begin, length: the texts in flat."""
     if not len(length):
         return
     order = np.argsort(length, kind="stable")
@@ -137,87 +164,52 @@ def _grouped(flat: np.ndarray, begin: np.ndarray, length: np.ndarray):
         n = length[rows]
         first = np.concatenate([[0], np.cumsum(n)])
         take = np.repeat(begin[rows] - first[:-1], n) + np.arange(first[-1])
-        yield rows, Lattice(flat[take], first)
-
+        yield rows, Lattice(flat[take], first, None if start is None else start[rows], None if end is None else end[rows])
 
-def train(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, rounds: int = ROUNDS, smooth: float = SMOOTH) -> Model:
-    """Baum-Welch over every word of every text.
 
-    In each round every partition adds up its expected counts, one row for each
-    symbol it holds; Spark adds up the partitions' rows by symbol; the driver,
-    which gets symbols x states numbers whatever the corpus, makes the next model.
-    Null and empty texts count nothing; without any word the model stays the first one.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("text").cast("string").alias("text")).where("length(text) > 0")
-    model = first_model(states, symbols)
-    names = [f"c{s}" for s in range(states)]
-    for _ in range(rounds):
-        given = spark.sparkContext.broadcast(model)  # symbols x states numbers: 4 MB
-
-        def expect(batches, given=given):
-            m = given.value
-            emit, extra = np.zeros((symbols, states)), np.zeros((states + 1, states))
-            for b in batches:
-                for _, lattice in _lattices(column(b, "text"), symbols):
-                    initial, trans, gamma, _ = lattice.counts(m)
-                    for s in range(states):
-                        emit[:, s] += np.bincount(lattice.symbols, gamma[:, s], minlength=symbols)
-                    extra += np.vstack([trans, initial])
-            some = np.flatnonzero(emit.any(1))
-            keys = np.concatenate([some, -1 - np.arange(states + 1)])
-            rows = np.concatenate([emit[some], extra])
-            for k in range(0, len(keys), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 10_000].astype(np.int32)), *[pa.array(np.ascontiguousarray(rows[k : k + 10_000, s])) for s in range(states)]], ["key", *names])
-
-        summed = texts.mapInArrow(expect, "key int, " + ", ".join(f"{n} double" for n in names)).groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
-        key = summed["key"].to_numpy()
-        rows = np.stack([summed[n].to_numpy() for n in names], 1) if len(key) else np.zeros((0, states))
-        emit, extra = np.zeros((symbols, states)), np.zeros((states + 1, states))
-        emit[key[key >= 0]] = rows[key >= 0]
-        extra[-1 - key[key < 0]] = rows[key < 0]
-        given.unpersist()
-        if emit.any():
-            share = lambda x: (x + smooth) / (x + smooth).sum(-1, keepdims=True)
-            model = Model(share(extra[-1]), share(extra[:-1]), (emit + smooth) / (emit + smooth).sum(0))
-    return model
-
-
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows (doc_id, n_words, log_likelihood, bits_per_word), one for each row of docs.
-
-    The likelihood is exact: the scaled forward recursion over all words of the
-    text.  A null or empty text has no words, log_likelihood 0 and null bits.
-    A null doc_id is carried along, a repeated row scored again; other columns are not read.
-    """
-    given = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def likelihoods(m: Model, flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """log P of every text, exactly: by the scaled forward recursion, of texts longer than LONG by stretches."""
+    out, long = np.zeros(len(length)), length > LONG
+    for k in np.flatnonzero(long):
+        out[k] = stretches(m, flat[begin[k] : begin[k] + length[k]])[-1]
+    short = np.flatnonzero(~long)
+    for rows, lattice in _grouped(flat, begin[short], length[short]):
+        out[short[rows]] = lattice.likelihoods(lattice.forward(m)[1], len(rows))
+    return out
 
-    def score(batches):
-        m = given.value
-        for b in batches:
-            texts = column(b, "text")
-            ll, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for rows, lattice in _lattices(texts, len(m.emit)):
-                if len(lattice.order):
-                    ll[rows] = lattice.likelihoods(lattice.forward(m)[1], len(rows))
-                    n[rows[lattice.order]] = np.bincount(lattice.doc, minlength=len(lattice.order))
-            bits = pa.array(-ll / np.log(2) / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(n), pa.array(ll), bits], ["doc_id", "n_words", "log_likelihood", "bits_per_word"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(score, f"doc_id {kind}, n_words long, log_likelihood double, bits_per_word double")
+def _expected(m: Model, ids: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of words, of first states and of steps, and the log-likelihood."""
+    size, states = m.emit.shape
+    emit, initial, step, total = np.zeros((size, states)), np.zeros(states), np.zeros((states, states)), 0.0
 
+    def add(lattice: Lattice) -> tuple[np.ndarray, np.ndarray, float]:
+        i, t, gamma, ll = lattice.counts(m)
+        for s in range(states):
+            emit[:, s] += np.bincount(lattice.symbols, gamma[:, s], minlength=size)
+        return i, t, ll
 
-# --- a model whose vocabulary is that of the corpus --------------------------
+    short = length <= LONG
+    for _, lattice in _grouped(ids, begin[short], length[short]):
+        i, t, ll = add(lattice)
+        initial, step, total = initial + i, step + t, total + ll
+    for k in np.flatnonzero(~short):
+        text = ids[begin[k] : begin[k] + length[k]]
+        at, start, end, first, between, ll = stretches(m, text)
+        for _, lattice in _grouped(text, at, np.diff(at, append=len(text)), start, end):
+            step = step + add(lattice)[1]
+        initial, step, total = initial + first, step + between, total + ll
+    return emit, initial, step, total
 
 
 @dataclass
 class Shape:
     """What is of a fixed size: initial[s], step[s, t], and how counts become emissions.
 
-    emit[word, s] = (count[word, s] + PRIOR x share[class, s]) / norm[s].  A word's class is the
-    binary logarithm of how often the corpus holds it, share the states' share of all counts of
-    that class; class 0, of words never seen, has the share of the words seen once.
+    emit[word, s] = (count[word, s] + PRIOR x share[class, s]) / norm[s].  A word's class is the binary
+    logarithm of how often the corpus holds it, share the states' share of all counts of that class.  A word
+    seen once counts as its class's share; class 0, of words never seen, has the share of the words seen once.
+    Over all words and one never seen, the emissions of a state add up to 1.
     """
 
     initial: np.ndarray
@@ -225,8 +217,9 @@ class Shape:
     share: np.ndarray
     norm: np.ndarray
 
-    def emissions(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + PRIOR * self.share[classes(counts.sum(1))]) / self.norm
+    def emissions(self, counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+        once = (n > 0.5) & (n < 1.5)
+        return (np.where(once[:, None], self.share[1], counts) + PRIOR * self.share[classes(n)]) / self.norm
 
 
 def classes(n: np.ndarray) -> np.ndarray:
@@ -234,9 +227,9 @@ def classes(n: np.ndarray) -> np.ndarray:
     return np.where(n < 0.5, 0, 1 + np.floor(np.log2(np.maximum(n, 1) * 1.0001))).astype(np.int64)
 
 
-def class_sums(counts: np.ndarray) -> np.ndarray:
+def class_sums(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For each class the sum of its words' counts by state, and last how many words it has."""
-    k = classes(counts.sum(1))
+    k = classes(n)
     out = np.stack([np.bincount(k, c, minlength=CLASSES) for c in [*counts.T, np.ones(len(k))]], 1)
     out[0] = 0
     return out
@@ -245,24 +238,13 @@ def class_sums(counts: np.ndarray) -> np.ndarray:
 def shape(initial: np.ndarray, step: np.ndarray, sums: np.ndarray, smooth: float = SMOOTH) -> Shape:
     """The model of expected counts; sums: see class_sums."""
     norm = lambda x: x / x.sum(-1, keepdims=True)
-    by_state, size = sums[:, :-1], sums[:, -1].copy()
+    by_state, size = sums[:, :-1].copy(), sums[:, -1].copy()
     share = norm(by_state + smooth)
+    by_state[1] = size[1] * share[1]
     share[0], size[0] = share[1], 1  # one place for what was never seen
     return Shape(norm(initial + smooth), norm(step + smooth), share, by_state.sum(0) + PRIOR * (size[:, None] * share).sum(0))
 
 
-def _expected(model: Model, ids: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of words, of first states and of steps, and the log-likelihood."""
-    size, states = model.emit.shape
-    emit, initial, step, total = np.zeros((size, states)), np.zeros(states), np.zeros((states, states)), 0.0
-    for _, lattice in _grouped(ids, begin, length):
-        i, t, gamma, ll = lattice.counts(model)
-        for s in range(states):
-            emit[:, s] += np.bincount(lattice.symbols, gamma[:, s], minlength=size)
-        initial, step, total = initial + i, step + t, total + ll
-    return emit, initial, step, total
-
-
 def start(texts: pa.Array, states: int, seed: int = 3) -> tuple[Shape, np.ndarray, np.ndarray]:
     """A model with broken symmetry, from START_ROUNDS rounds over a bounded sample; the sample's words, sorted, and their counts.
 
@@ -272,11 +254,12 @@ def start(texts: pa.Array, states: int, seed: int = 3) -> tuple[Shape, np.ndarra
     flat, length = (np.concatenate([p[k] for p in parts] or [np.zeros(0, t)]) for k, t in ((0, np.uint64), (1, np.int64)))
     words, ids = np.unique(flat, return_inverse=True)
     rng = np.random.default_rng(seed)
-    counts = np.bincount(ids, minlength=len(words))[:, None] * rng.dirichlet(np.full(states, 0.5), len(words))
-    now = shape(np.ones(states), np.eye(states) + 1 / states, class_sums(counts))
+    n = np.bincount(ids, minlength=len(words))
+    counts = n[:, None] * rng.dirichlet(np.full(states, 0.5), len(words))
+    now = shape(np.ones(states), np.eye(states) + 1 / states, class_sums(counts, n))
     for _ in range(START_ROUNDS if len(flat) else 0):
-        counts, initial, step, _ = _expected(Model(now.initial, now.step, now.emissions(counts)), ids.astype(np.int32), np.cumsum(length) - length, length)
-        now = shape(initial, step, class_sums(counts))
+        counts, initial, step, _ = _expected(Model(now.initial, now.step, now.emissions(counts, n)), ids.astype(np.int32), np.cumsum(length) - length, length)
+        now = shape(initial, step, class_sums(counts, n))
     return now, words, counts
 
 
@@ -308,10 +291,14 @@ def _runs(batches, key: str):
     return itertools.groupby(rows, lambda r: r[key])
 
 
+_PLACE = np.dtype([("place", np.int32), ("n", np.float32)])
+
+
 class Corpus:
-    """The texts as blocks of BLOCK_WORDS words in the shared folder, each with its own sorted vocabulary and its words as places in it.
+    """The texts as blocks of BLOCK_WORDS words in the shared folder, each with its own vocabulary, most frequent words first, and its words as places in it.
 
-    A word's counts lie beside each block that holds it.  Those of words of a single block never leave it; those
+    Beside each block lie its words' distributions over the states, as half-precision numbers, for words seen at least twice; a word's
+    number of occurrences never changes and is kept once.  Words of a single block never leave it; those
     of the other words meet by ranges of word hashes in one shuffle and return to the blocks, summed, in a second one.
     """
 
@@ -320,22 +307,27 @@ class Corpus:
         self.scratch = Scratch(self.spark, "hmm")
         self.id_type = docs.schema["doc_id"].dataType.simpleString()
         rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.expr(learn), F.lit(False)).alias("learn"))
-        self.sample = rows.where("learn AND length(text) > 0").select(F.substring("text", 1, START_CHARS).alias("text")).orderBy(F.xxhash64("text"), "text").limit(START_TEXTS)
-        self.blocks = self.scratch.table(rows.mapInArrow(_blocks, f"block long, doc_id array<{self.id_type}>, length binary, learn binary, ids binary, words binary"), "blocks")
-        n = self.blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("size")).first()
+        self.blocks = self.scratch.table(rows.mapInArrow(_blocks, f"block long, doc_id array<{self.id_type}>, length binary, learn binary, low binary, high binary, words binary, seen binary, texts long"), "blocks")
+        n = self.blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("size"), F.coalesce(F.sum("texts"), F.lit(0)).alias("texts")).first()
         self.n_blocks, self.parts = max(1, n.blocks), 1 + n.size // 8 // PART_WORDS
-        self._exchange(self._occurrences(), _shared, "places")
+        share = int((1 << 30) * min(1.0, START_TEXTS / max(1, n.texts)))
+        drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share  # about START_TEXTS different texts, however many rows there are
+        self.sample = rows.where("learn AND length(text) > 0").where(drawn).select(F.xxhash64("text").alias("h"), F.substring("text", 1, START_CHARS).alias("text")).distinct()
+        self._exchange(self._occurrences(), _shared, "places", _PLACE)
 
     def _occurrences(self):
         parts = self.parts
 
         def occurrences(batches):
             for r in _rows(batches):
-                yield _cut(parts, r.block, r.words, np.arange(len(r.words), dtype=np.int32))
+                order = np.argsort(r.words)
+                vals = np.empty(len(order), _PLACE)
+                vals["place"], vals["n"] = order, r.seen[order]
+                yield _cut(parts, r.block, r.words[order], vals)
 
         return occurrences
 
-    def _exchange(self, out, add, to: str) -> list[np.ndarray]:
+    def _exchange(self, out, add, to: str, kind) -> list[np.ndarray]:
         """Runs out over the blocks, add over what it gives for each range of words; writes each block's part to a file of the folder ``to``."""
         root = self.scratch.root
 
@@ -344,14 +336,16 @@ class Corpus:
                 if block < 0:
                     yield pa.RecordBatch.from_arrays([pa.array([sum(np.frombuffer(r["vals"]) for r in rows).tobytes()], pa.binary())], ["vals"])
                     continue
-                _put(root, f"{to}/{block}", np.concatenate([np.frombuffer(r["vals"], np.int32) for r in rows]))  # ranges in the order of the block's words
+                _put(root, f"{to}/{block}", np.concatenate([np.frombuffer(r["vals"], kind) for r in rows]))  # ranges in the order of hashes
 
         kept = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")  # a round's shuffles go when it ends, not when the driver collects its garbage
-        chunks = self.blocks.mapInArrow(out, "part int, block long, words binary, vals binary")
-        summed = chunks.repartition(self.parts, "part").sortWithinPartitions("part").mapInArrow(add, "block long, part int, vals binary")
-        got = summed.repartition(self.n_blocks, "block").sortWithinPartitions("block", "part").mapInArrow(put, "vals binary").collect()
-        self.spark.conf.set(CLEANUP, kept)
+        try:
+            chunks = self.blocks.mapInArrow(out, "part int, block long, words binary, vals binary")
+            summed = chunks.repartition(self.parts, "part").sortWithinPartitions("part").mapInArrow(add, "block long, part int, vals binary")
+            got = summed.repartition(self.n_blocks, "block").sortWithinPartitions("block", "part").mapInArrow(put, "vals binary").collect()
+        finally:
+            self.spark.conf.set(CLEANUP, kept)
         return [np.frombuffer(bytes(r.vals)) for r in got]
 
     def round(self, given, r: int, states: int) -> tuple[Shape, float, float]:
@@ -360,14 +354,16 @@ class Corpus:
 
         def expect(batches):
             for b in _rows(batches):
-                emit, places, local = b.emissions(root, given.value, r)
+                emit = b.emissions(root, given.value, r)
                 length, learn = b.length, b.learn
                 begin = np.cumsum(length) - length
                 counts, initial, step, ll = _expected(Model(given.value[0].initial, given.value[0].step, emit), b.ids, begin[learn], length[learn])
-                own = counts[local].astype(np.float32)
-                _put(root, f"local-{r + 1}/{b.block}", own)
-                extra = np.concatenate([initial, step.ravel(), class_sums(own.astype(float)).ravel(), [ll, length[learn].sum()]])
-                yield _cut(parts, b.block, b.words[places], counts[places].astype(np.float32))
+                own = np.flatnonzero(b.local)
+                half = _halves(counts[b.kept], b.n[b.kept])
+                _put(root, f"local-{r + 1}/{b.block}", half)
+                counts[b.kept] = half * b.n[b.kept][:, None]  # what the next round will see
+                extra = np.concatenate([initial, step.ravel(), class_sums(counts[own], b.n[own]).ravel(), [ll, length[learn].sum()]])
+                yield _cut(parts, b.block, b.words[b.busy], counts[b.busy].astype(np.float32))
                 side = -1 - b.block % SIDES
                 yield pa.RecordBatch.from_arrays([pa.array([side], pa.int32()), pa.array([side]), *[pa.array([x], pa.binary()) for x in (b"", extra.tobytes())]], ["part", "block", "words", "vals"])
 
@@ -380,12 +376,14 @@ class Corpus:
                 each = [np.frombuffer(r["words"], np.uint64) for r in rows]
                 _, inverse = np.unique(np.concatenate(each), return_inverse=True)
                 vals = np.concatenate([np.frombuffer(r["vals"], np.float32) for r in rows]).reshape(-1, states)
-                total = np.stack([np.bincount(inverse, v) for v in vals.T], 1).astype(np.float32)
+                total = np.stack([np.bincount(inverse, v) for v in vals.T], 1)
+                n = np.round(total.sum(1))
+                half = _halves(total, n)
                 ends = np.cumsum([len(w) for w in each])
-                extra = np.concatenate([np.zeros(states + states * states), class_sums(total.astype(float)).ravel(), np.zeros(2)])
-                yield _sent(part, [(r["block"], total[i].tobytes()) for r, i in zip(rows, np.split(inverse, ends[:-1]))] + [(-1 - part % SIDES, extra.tobytes())])
+                extra = np.concatenate([np.zeros(states + states * states), class_sums(half * n[:, None], n).ravel(), np.zeros(2)])
+                yield _sent(part, [(r["block"], half[i].tobytes()) for r, i in zip(rows, np.split(inverse, ends[:-1]))] + [(-1 - part % SIDES, extra.tobytes())])
 
-        got = self._exchange(expect, add, f"shared-{r + 1}")
+        got = self._exchange(expect, add, f"shared-{r + 1}", np.float16)
         self.scratch.drop(f"local-{r}", f"shared-{r}")
         x = sum(got) if got else np.zeros(states + states * states + CLASSES * (states + 1) + 2)
         a, b = states, states + states * states
@@ -396,17 +394,19 @@ class Corpus:
 
         def score(batches):
             for b in _rows(batches):
-                emit, _, _ = b.emissions(root, given.value, r)
-                model, n = Model(given.value[0].initial, given.value[0].step, emit), b.length
-                ll = np.zeros(len(n))
-                for rows, lattice in _grouped(b.ids, np.cumsum(n) - n, n):
-                    ll[rows] = lattice.likelihoods(lattice.forward(model)[1], len(rows))
+                model, n = Model(given.value[0].initial, given.value[0].step, b.emissions(root, given.value, r)), b.length
+                ll = likelihoods(model, b.ids, np.cumsum(n) - n, n)
                 bits = pa.array(-ll / np.log(2) / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([b.doc_id, pa.array(n), pa.array(ll), bits], ["doc_id", "n_words", "log_likelihood", "bits_per_word"])
 
         return self.blocks.mapInArrow(score, f"doc_id {self.id_type}, n_words long, log_likelihood double, bits_per_word double")
 
 
+def _halves(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Counts as shares of the words' numbers of occurrences, in half precision."""
+    return (counts / np.maximum(n, 1)[:, None]).astype(np.float16)
+
+
 @dataclass
 class _Block:
     block: int
@@ -415,29 +415,44 @@ class _Block:
     learn: np.ndarray
     ids: np.ndarray
     words: np.ndarray
+    seen: np.ndarray
 
-    def emissions(self, root: str, given, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Emissions of the block's words in round r, the places of words that other blocks hold too, and those of the others."""
+    def emissions(self, root: str, given, r: int) -> np.ndarray:
+        """Emissions of the block's words in round r.
+
+        Sets n, how often the corpus holds each word; busy, the places, by hash, of words of several blocks that are seen
+        at least twice; local, all other words; and kept, the places of those of them seen at least twice.
+        """
         model, words, counts = given
-        places = _get(root, f"places/{self.block}", np.int32)
-        own = np.ones(len(self.words), bool)
-        own[places] = False
-        local, states = np.flatnonzero(own), len(model.initial)
-        here = np.zeros((len(self.words), states))
+        shared = _get(root, f"places/{self.block}", _PLACE)
+        self.n = self.seen.astype(np.float64)
+        self.n[shared["place"]] = shared["n"]
+        self.busy = shared["place"][shared["n"] > 1.5]
+        self.local = np.ones(len(self.words), bool)
+        self.local[self.busy] = False
+        self.kept, states = np.flatnonzero(self.local & (self.n > 1.5)), len(model.initial)
+        here, n = np.zeros((len(self.words), states)), self.n
         if r:
-            here[local] = _get(root, f"local-{r}/{self.block}", np.float32).reshape(-1, states)
-            here[places] = _get(root, f"shared-{r}/{self.block}", np.float32).reshape(-1, states)
+            for at, name in ((self.kept, "local"), (self.busy, "shared")):
+                here[at] = _get(root, f"{name}-{r}/{self.block}", np.float16).reshape(-1, states) * self.n[at][:, None]
         elif len(words):
             at = np.minimum(np.searchsorted(words, self.words), len(words) - 1)
             here = np.where((words[at] == self.words)[:, None], counts[at], 0)
-        return model.emissions(here), places, local
+            n = here.sum(1)
+        else:
+            n = np.zeros(len(self.words))
+        return model.emissions(here, n)
 
 
 def _rows(batches):
     for batch in batches:
         for k in range(batch.num_rows):
-            raw = lambda name, kind: np.frombuffer(column(batch, name)[k].as_buffer(), kind)  # noqa: B023, E731
-            yield _Block(column(batch, "block")[k].as_py(), column(batch, "doc_id")[k].values, raw("length", np.int64), raw("learn", bool), raw("ids", np.int32), raw("words", np.uint64))
+            raw = lambda name: column(batch, name)[k].as_buffer()  # noqa: B023, E731
+            length, words = np.frombuffer(raw("length"), np.int64), np.frombuffer(raw("words"), np.uint64)
+            wide = lambda name, kind, n: np.frombuffer(pa.decompress(raw(name), n * np.dtype(kind).itemsize, "zstd"), kind)  # noqa: B023, E731
+            total = int(length.sum())
+            ids = wide("low", np.uint16, total).astype(np.int32) | wide("high", np.uint16, total).astype(np.int32) << 16
+            yield _Block(column(batch, "block")[k].as_py(), column(batch, "doc_id")[k].values, length, np.frombuffer(raw("learn"), bool), ids, words, wide("seen", np.int64, len(words)))
 
 
 def _blocks(batches):
@@ -447,13 +462,23 @@ def _blocks(batches):
 
     def block():
         ids, length, learn, words = zip(*held)
-        vocabulary, places = np.unique(np.concatenate(words), return_inverse=True)
+        length, learn = np.concatenate(length).astype(np.int64), np.concatenate(learn)
+        vocabulary, places, n = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        places = rank[places]
+        seen = np.bincount(places[np.repeat(learn, length)], minlength=len(order)).astype(np.int64)
         ids = pa.concat_arrays(ids)
         blob = lambda x: pa.array([x.tobytes()], pa.binary())
+        small = lambda x: pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True)], pa.binary())
         return pa.RecordBatch.from_arrays(
-            [pa.array([(pid << 32) + k]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), blob(np.concatenate(length).astype(np.int64)), blob(np.concatenate(learn)), blob(places.astype(np.int32)), blob(vocabulary)],
-            ["block", "doc_id", "length", "learn", "ids", "words"],
-        )
+            [
+                pa.array([(pid << 32) + k]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), blob(length), blob(learn), small((places & 0xFFFF).astype(np.uint16)), small((places >> 16).astype(np.uint16)),
+                blob(vocabulary[order]), small(seen), pa.array([int((learn & (length > 0)).sum())], pa.int64()),
+            ],
+            ["block", "doc_id", "length", "learn", "low", "high", "words", "seen", "texts"],
+        )
 
     for b in batches:
         ids, learn = column(b, "doc_id"), column(b, "learn").to_numpy(zero_copy_only=False)
@@ -482,24 +507,33 @@ def _sent(part: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def _shared(batches):
-    """To each block the places of its words that another block holds too."""
+    """To each block the places of its words that another block holds too, and how often the corpus holds them."""
     for part, rows in _runs(batches, "part"):
         rows = list(rows)
         each = [np.frombuffer(r["words"], np.uint64) for r in rows]
-        _, inverse, n = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-        many = np.split(n[inverse] > 1, np.cumsum([len(w) for w in each])[:-1])
-        yield _sent(part, [(r["block"], np.frombuffer(r["vals"], np.int32)[m].tobytes()) for r, m in zip(rows, many) if m.any()])
+        vals = np.concatenate([np.frombuffer(r["vals"], _PLACE) for r in rows])
+        _, inverse, blocks = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        vals["n"] = np.bincount(inverse, vals["n"].astype(np.float64))[inverse]
+        ends = np.cumsum([len(w) for w in each])[:-1]
+        yield _sent(part, [(r["block"], v[m].tobytes()) for r, v, m in zip(rows, np.split(vals, ends), np.split(blocks[inverse] > 1, ends)) if m.any()])
+
 
+def language_model_scores(docs: DataFrame, states: int = STATES, rounds: int | None = None, learn: str = "true") -> DataFrame:
+    """Rows (doc_id, n_words, log_likelihood, bits_per_word), one for each row of docs.
 
-def corpus_scores(docs: DataFrame, states: int = STATES, rounds: int | None = None, learn: str = "true") -> DataFrame:
-    """Rows as of scores, of a model with emissions for every word of the corpus.
+    The model is trained on every word of the rows for which ``learn`` holds: rounds of Baum-Welch until one gains less than TOLERANCE
+    bits a word, or as many as given.  The likelihood is exact, the scaled forward recursion over all words of the
+    text; a text of more than LONG words is cut into stretches whose transfer matrices are multiplied, in training too, so
+    memory is that of SLICE_WORDS words whatever its length.  The driver gets sums of a fixed size and the first START_CHARS characters of
+    about START_TEXTS texts, from which only the start is made.
 
-    Rounds of Baum-Welch over every word of the rows for which ``learn`` holds, until a round gains less
-    than TOLERANCE bits a word, or as many as given; every row is scored.  The driver gets sums of a fixed size.
+    A null or empty text has no words, log_likelihood 0 and null bits.  A null doc_id is carried along, a
+    repeated row learnt from and scored again; other columns are not read.  An empty table gives no rows.
     """
     corpus = Corpus(docs, learn)
     spark = docs.sparkSession
-    model, words, counts = start(pa.array([r.text for r in corpus.scratch.table(corpus.sample, "sample").collect()], pa.string()), states)
+    sample = sorted((r.h, r.text) for r in corpus.sample.collect())
+    model, words, counts = start(pa.array([t for _, t in sample], pa.string()), states)
     none, r, before = np.zeros((0, states)), 0, -np.inf
     given = spark.sparkContext.broadcast((model, words, counts))
     while rounds is None or r < rounds:
@@ -512,8 +546,3 @@ def corpus_scores(docs: DataFrame, states: int = STATES, rounds: int | None = No
             break
         before = bits
     return corpus.scores(given, r)
-
-
-def language_model_scores(docs: DataFrame, symbols: int | None = None, **how) -> DataFrame:
-    """Trains on docs and scores docs: by words (see corpus_scores), or where ``symbols`` is given with words folded into so many (see train and scores)."""
-    return corpus_scores(docs, **how) if symbols is None else scores(docs, train(docs, symbols=symbols, **how))

@@ -5,6 +5,7 @@ import collections
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ def test_every_operator_on_awkward_and_empty_tables(spark, awkward, labels):
         "shards": sharding.shards,
         "suffixes": suffixes.repeated_passages,
         "leaks": lambda d: decontaminate.leaks(d, bench),
-        "hmm": lambda d: hmm.language_model_scores(d, states=2, symbols=64, rounds=1),
+        "hmm": lambda d: hmm.language_model_scores(d, states=2, rounds=1),
         "keep_first": block_names.keep_first,
         "keep_one": ngram_join.keep_one,
         "clean": lambda d: decontaminate.clean(d, bench),
@@ -220,7 +221,7 @@ def test_records_survive_the_round_trip(spark):
 def test_broken_files(spark, tmp_path):
     record = warc.header(1, "u", 5) + b"hello\r\n\r\n"
     whole = gzip.compress(record * 3)
-    cases = {"mono": (whole, ["ok"] * 3), "members": (gzip.compress(record) * 2, ["ok"] * 2), "plain": (record * 2, ["ok"] * 2), "cut": (gzip.compress(record * 2 + record[:-8]), ["ok", "ok", "truncated"]), "broken": (whole[:-12], ["ok", "ok", "truncated"]), "empty": (b"", []), "junk": (gzip.compress(b"no record at all"), ["truncated"])}
+    cases = {"mono": (whole, ["ok"] * 3), "members": (gzip.compress(record) * 2, ["ok"] * 2), "plain": (record * 2, ["ok"] * 2), "cut": (gzip.compress(record * 2 + record[:-8]), ["ok", "ok", "truncated"]), "broken": (whole[:-12], ["ok", "truncated"]), "empty": (b"", []), "junk": (gzip.compress(b"no record at all"), ["truncated"])}
     for name, (raw_, _) in cases.items():
         (tmp_path / f"{name}.warc.gz").write_bytes(raw_)
     got = warc.normalise(spark, [f"file://{tmp_path}/{n}.warc.gz" for n in cases], f"file://{tmp_path}/out").collect()
@@ -267,12 +268,17 @@ def test_packed_documents(spark):
 # --- 5 ----------------------------------------------------------------------
 
 
+def random_model(states, symbols, seed=3):
+    rng = np.random.default_rng(seed)
+    share = lambda x, axis=-1: x / x.sum(axis, keepdims=True)
+    return hmm.Model(share(rng.random(states)), share(rng.random((states, states))), share(rng.random((symbols, states)), 0))
+
+
 def test_forward_and_counts_equal_sums_over_paths():
-    m = hmm.first_model(3, 16)
-    texts = pa.array(["a b c a b", "", None, "x", "the cat sat on the mat"])
-    buf, offs = raw(texts)
-    sym, first = hmm.symbols_of(buf, offs, 16)
-    ((rows, lattice),) = hmm._lattices(texts, 16)
+    m = random_model(3, 16)
+    length = np.array([5, 0, 0, 1, 6])
+    first = np.concatenate([[0], np.cumsum(length)])
+    sym = np.random.default_rng(1).integers(0, 16, 12).astype(np.int32)
     ll, start, steps = np.zeros(5), np.zeros(3), np.zeros((3, 3))
     for d, (a, b) in enumerate(zip(first, first[1:])):
         total, i0, t0 = 0, np.zeros(3), np.zeros((3, 3))
@@ -288,24 +294,36 @@ def test_forward_and_counts_equal_sums_over_paths():
             ll[d] = np.log(total)
             start += i0 / total
             steps += t0 / total
-    assert np.allclose(lattice.likelihoods(lattice.forward(m)[1], 5), ll[rows])
-    i, t, gamma, total = lattice.counts(m)
-    assert np.allclose(i, start) and np.allclose(t, steps) and gamma.sum() == pytest.approx(len(sym)) and total == pytest.approx(ll.sum())
+    assert np.allclose(hmm.likelihoods(m, sym, first[:-1], length), ll)
+    emit, i, t, total = hmm._expected(m, sym, first[:-1], length)
+    assert np.allclose(i, start) and np.allclose(t, steps) and np.allclose(emit.sum(1), np.bincount(sym, minlength=16)) and total == pytest.approx(ll.sum())
+
+
+def test_long_texts_by_stretches_are_as_whole_ones(monkeypatch):
+    m = random_model(4, 50)
+    length = np.array([3, 1000, 77, 64, 65, 1])
+    sym = np.random.default_rng(2).integers(0, 50, length.sum()).astype(np.int32)
+    begin = np.cumsum(length) - length
+    want, counts = hmm.likelihoods(m, sym, begin, length), hmm._expected(m, sym, begin, length)
+    monkeypatch.setattr(hmm, "LONG", 10)
+    monkeypatch.setattr(hmm, "STRETCH", 32)
+    assert np.allclose(hmm.likelihoods(m, sym, begin, length), want, rtol=1e-12)
+    assert all(np.allclose(a, b) for a, b in zip(hmm._expected(m, sym, begin, length), counts))
 
 
-def test_training_on_partitions_is_training_on_all(spark):
-    docs = table(spark, [(i, words(i, 40, 30)) for i in range(60)])
-    one, many = (hmm.train(docs.repartition(n), 3, 64, 2) for n in (1, 5))
-    assert np.allclose(one.emit, many.emit) and np.allclose(one.step, many.step)
-    score = lambda m: hmm.scores(docs, m).agg({"log_likelihood": "sum"}).first()[0]
-    assert score(hmm.first_model(3, 64)) < score(hmm.train(docs, 3, 64, 1)) < score(one)
+def test_a_text_of_two_million_words_fits_in_little_memory():
+    m = random_model(8, 1000)
+    sym = np.random.default_rng(2).integers(0, 1000, 2_000_000).astype(np.int32)
+    tracemalloc.start()
+    hmm._expected(m, sym, np.array([0]), np.array([len(sym)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20  # whole, three arrays of eight numbers a word alone are 384 MB
 
 
 def test_every_word_has_its_own_emissions(spark):
     names = [f"w{i}" for i in range(90_000)]
-    h = lambda x: hmm.symbols_of(*raw(pa.array(x)), 1 << 16)[0]
-    twin = names[1 + int(np.flatnonzero(h(names[1:]) == h(names[:1])[0])[0])]
-    docs = [(i, " ".join([names[0]] * 20)) for i in range(50)] + [(100 + i, " ".join(names[k : k + 1000])) for i, k in enumerate(range(1, 90_000, 1000))] + [(200, twin), (201, names[0])]
+    docs = [(i, " ".join([names[0]] * 20)) for i in range(50)] + [(100 + i, " ".join(names[k : k + 1000])) for i, k in enumerate(range(1, 90_000, 1000))] + [(200, names[77]), (201, names[0])]
     got = {r.doc_id: r.bits_per_word for r in hmm.language_model_scores(table(spark, docs), states=2, rounds=1).collect()}
     assert len(got) == len(docs) and got[200] > got[201] + 4
 
@@ -313,7 +331,7 @@ def test_every_word_has_its_own_emissions(spark):
 def test_blocks_and_partitions_do_not_change_the_model(spark, monkeypatch):
     texts = [(i, words(i, 40, 30)) for i in range(60)] + [(60, None), (None, ""), (61, "seen once here only")]
     docs = table(spark, texts)
-    once = lambda n: {r.doc_id: r.log_likelihood for r in hmm.corpus_scores(docs.repartition(n), states=3, rounds=2).collect()}
+    once = lambda n: {r.doc_id: r.log_likelihood for r in hmm.language_model_scores(docs.repartition(n), states=3, rounds=2).collect()}
     one, many = once(1), once(7)
     assert one[60] == one[None] == 0 and one[0] < 0
     assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k], rel=1e-4) for k in one)
@@ -322,10 +340,12 @@ def test_blocks_and_partitions_do_not_change_the_model(spark, monkeypatch):
     model, vocabulary, counts = hmm.start(pa.array(order), 3)
     hashes, first = hmm.word_hashes(raw(pa.array(order))[0], hmm.spans(*raw(pa.array(order)))[0]), hmm.spans(*raw(pa.array(order)))[2]
     ids, begin, length = np.searchsorted(vocabulary, hashes).astype(np.int32), first[:-1], np.diff(first)
+    n = np.bincount(ids)
+    seen = counts.sum(1)
     for _ in range(2):
-        counts, initial, step, _ = hmm._expected(hmm.Model(model.initial, model.step, model.emissions(counts)), ids, begin, length)
-        model = hmm.shape(initial, step, hmm.class_sums(counts))
-    emit = model.emissions(counts)
+        counts, initial, step, _ = hmm._expected(hmm.Model(model.initial, model.step, model.emissions(counts, seen)), ids, begin, length)
+        model, seen = hmm.shape(initial, step, hmm.class_sums(counts, n)), n
+    emit = model.emissions(counts, n)
     assert np.allclose(emit.sum(0) + hmm.PRIOR * model.share[0] / model.norm, 1)
     total = hmm._expected(hmm.Model(model.initial, model.step, emit), ids, begin, length)[3]
     assert sum(one.values()) == pytest.approx(total, rel=1e-4)
