@@ -24,7 +24,7 @@ from ._text import column, slices, spans, word_hashes
 
 STATES = 8
 SMOOTH = 0.01
-SLICE_WORDS = 400_000
+SLICE_WORDS = 200_000
 LONG, STRETCH = 1 << 14, 1 << 10  # texts of more words are cut into stretches of so many
 PRIOR = 1.0  # counts added to each word's, spread over the states as its class is
 CLASSES = 66

@@ -209,7 +209,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, epsilon: float = EPSILON,
     into full pieces and a rest, so every word of every text is in exactly one
     bin, and no bin holds more than capacity words.  Null, empty and blank texts
     have no piece; a repeated row is packed again; a null doc_id is carried
-    along, last among equal lengths; other columns are not read.  An empty table gives no rows.
+    along, first among equal lengths; other columns are not read.  An empty table gives no rows.
 
     Shuffled are only (length, doc_id, start) of the pieces, sorted to rank them;
     the plan on the driver depends on the capacity, not on the number of documents.
@@ -230,7 +230,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, epsilon: float = EPSILON,
 
     pieces = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(cut, f"doc_id {kind}, start long, length int")
     ranked, _, _ = global_order(scratch, pieces, ["length"], "ranked", ["doc_id", "start", "length"])
-    ranked = scratch.table(ranked.drop("name"), "rows")
+    ranked = ranked.drop("name")
     histogram = {r[0]: (r[1], r[2]) for r in ranked.groupBy("length").agg(F.count("*"), F.min("row")).collect()}
     made = plan({s: c for s, (c, _) in histogram.items()}, capacity, epsilon, groups)
     tables = {}
@@ -251,3 +251,21 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, epsilon: float = EPSILON,
         return pa.array(out)
 
     return ranked.select(bin_of("length", "row").alias("bin"), "doc_id", "start", "length")
+
+
+def held(docs: DataFrame, capacity: int = CAPACITY, **how) -> DataFrame:
+    """Rows (doc_id, words, covered, bins_fit) of each document with a word, once packed: how many of its words are in bins, whether its pieces cover it without a gap or overlap, and whether none of its bins holds more than the capacity."""
+    pieces = packed(docs, capacity, **how)
+    load = pieces.groupBy("bin").agg(F.sum("length").alias("load"))
+    ordered = F.array_sort(F.collect_list(F.struct("start", "length")))
+    ends = F.transform(F.col("p"), lambda x: x["start"] + x["length"])
+    gapless = (F.element_at("p", 1)["start"] == 0) & (F.slice(ends, 1, F.size("p") - 1) == F.transform(F.slice("p", 2, F.size("p")), lambda x: x["start"]))
+    by_doc = pieces.join(load, "bin").groupBy("doc_id").agg(F.sum("length").alias("words"), ordered.alias("p"), F.bool_and(F.col("load") <= capacity).alias("bins_fit"))
+    return by_doc.select("doc_id", F.col("words").cast("long").alias("words"), gapless.alias("covered"), "bins_fit")
+
+
+#: Of held.
+SQL = r"""
+WITH words AS (SELECT doc_id, len(list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, n::BIGINT AS words, true AS covered, true AS bins_fit FROM words WHERE n > 0
+"""

@@ -32,6 +32,9 @@ _KIND[[ord(c) for c in "#$%&*@^~|<>{}[]\\_=+/"]] = 3
 _KIND[[ord(c) for c in ".,;:!?"]] = 4
 _KIND[10] = 5
 _KIND[195] = 6  # the lead byte of most accented letters
+MARKS = ".,;:!?#$%&*"
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in MARKS]] = True
 
 
 @dataclass(frozen=True)
@@ -88,7 +91,7 @@ def statistics(texts: pa.Array, lexicon: np.ndarray) -> np.ndarray:
         x = np.stack([
             np.log1p(words), np.log1p((chars - accent) / w), np.sqrt(upper / chars), np.sqrt(digit / chars), np.sqrt(symbol / chars),
             np.sqrt(stop / w), np.log1p(words / (lines + 1)), np.log1p(distinct) / np.maximum(np.log1p(words), 1e-9), np.sqrt(top / w),
-            np.sqrt(np.bincount(doc, tail == 3, minlength=n) / w), np.minimum(1.0, np.log1p(np.bincount(doc, hits, minlength=n)) + 10 * np.sqrt(np.bincount(doc, hits, minlength=n) / w)),
+            np.sqrt(np.bincount(doc, tail == 3, minlength=n) / w), np.log1p(np.bincount(doc, hits, minlength=n)),
         ], 1)
         x[words == 0] = 0
         parts.append(x)
@@ -100,15 +103,13 @@ def _bare_hits(fold: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.nda
     if not len(lexicon):
         return np.zeros(len(h), bool)
     hit = _isin(h, lexicon)
-    marked = np.flatnonzero((_KIND[fold[ends - 1]] >= 3) & (_KIND[fold[ends - 1]] <= 4) & ~hit) if len(ends) else np.zeros(0, np.int64)
+    marked = np.flatnonzero(_MARK[fold[ends - 1]] & ~hit) if len(ends) else np.zeros(0, np.int64)
     if len(marked):
-        bare = fold.copy()
-        for _ in range(3):
-            cut = ends[marked] - 1
-            cut = cut[(_KIND[bare[cut]] == 3) | (_KIND[bare[cut]] == 4)]
-            bare[cut] = 32
-            ends = ends.copy()
-            ends[marked] = np.maximum(starts[marked] + 1, ends[marked] - 1)
+        bare, left = fold.copy(), ends[marked] - 1
+        while len(left):  # as many marks as the longest run of them
+            left = left[_MARK[bare[left]]]
+            bare[left] = 32
+            left = left[left > 0] - 1
         kept = np.flatnonzero(~_space(bare[starts]))
         again = np.zeros(len(h), bool)
         again[kept] = _isin(word_hashes(bare, starts)[kept], lexicon)
@@ -160,11 +161,11 @@ def learn_lexicon(labelled: DataFrame, least: int = 4, share: float = 0.01, rati
         return np.zeros(0, np.uint64)
     split = F.split(F.lower("text"), "[ \\t\\n\\x0B\\f\\r]+")
     family = F.array_min(F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit("")))))
-    words = F.array_distinct(F.transform("w", lambda w: F.rtrim(F.translate(w, ".,;:!?#$%&*", " " * 11))))
+    words = F.array_distinct(F.transform("w", lambda w: F.rtrim(w, F.lit(MARKS))))
     # the family is made below the explode: above it, it would be made again for every word
     texts = labelled.select((F.col("y") == 2).alias("t"), split.alias("w")).select("t", F.when(F.col("t"), family).alias("family"), words.alias("words"))
     rows = texts.select("t", "family", F.explode("words").alias("word"))
-    df = rows.where("length(word) between 3 and 64").groupBy("word", "family").agg(F.count_if("t").alias("t"), F.count("*").alias("n")).groupBy("word").agg(F.count("family").alias("families"), F.sum("t").alias("t"), F.sum("n").alias("n"))
+    df = rows.where("length(word) > 0").groupBy("word", "family").agg(F.count_if("t").alias("t"), F.count("*").alias("n")).groupBy("word").agg(F.count("family").alias("families"), F.sum("t").alias("t"), F.sum("n").alias("n"))
     rate = (F.col("t") / toxic) / ((F.col("n") - F.col("t") + 1) / max(1, other))
     chosen = [r.word for r in df.where((F.col("families") >= max(least, share * toxic)) & (rate >= ratio)).select("word").collect()]
     if not chosen:
@@ -178,11 +179,12 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """Fits on at most about max_labelled labelled documents, drawn by a hash of their ids.
 
     Only the sample passes through the driver.  Labels that are null, or whose
-    document is missing, null or empty, are not used, and equal texts count once.
+    document is missing, null or empty, are not used, and equal texts count once.  Of
+    several labels of a document, or of equal texts, the worst counts: toxic, then low, then clean.
     None if there is no clean or no other labelled document.
     """
     y = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & F.coalesce(F.col("toxic") == 0, F.lit(True)), 0)
-    y = labels.select(F.col("doc_id").alias("_id"), y.alias("y")).where("y IS NOT NULL AND _id IS NOT NULL").dropDuplicates(["_id"])
+    y = labels.select(F.col("doc_id").alias("_id"), y.alias("y")).where("y IS NOT NULL AND _id IS NOT NULL").groupBy("_id").agg(F.max("y").alias("y"))
     share = min(1.0, max_labelled / max(1, labels.count()))
     drawn = y.where(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20))
     # the sample's bound is also that of the broadcast: 12 bytes a row

@@ -32,6 +32,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"))
 
 
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 held against the documents' words, which SQL has as well."""
+    return packing.held(_read(spark, sf_dir, "documents"))
+
+
 def op5_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.language_model_scores(_read(spark, sf_dir, "documents"))
 
@@ -48,6 +53,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_read(spark, sf_dir, "documents"))
 
 
+def sharded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 held against the sources' rows, which SQL has as well."""
+    return sharding.held(_read(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(_read(spark, sf_dir, "documents"))
 
@@ -56,6 +66,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_warc_normaliser, warc_payloads, op4_best_fit_packing, op5_hmm_scores, op6_exact_dedup, op7_secret_scan, op8_sharding, op9_suffix_array_dedup, op10_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_ngram_jaccard_join, op3_warc_normaliser, op4_best_fit_packing, op5_hmm_scores, op6_exact_dedup, op7_secret_scan, op8_sharding, op9_suffix_array_dedup, op10_decontamination,
+        warc_payloads, packed_documents, sharded_sources,
+    )
+}
 
-ORACLE_SQL = {"op2_ngram_jaccard_join": ngram_join.SQL, "warc_payloads": warc.SQL, "op6_exact_dedup": block_names.SQL, "op7_secret_scan": secret_scan.SQL, "op9_suffix_array_dedup": suffixes.SQL}
+ORACLE_SQL = {
+    "op2_ngram_jaccard_join": ngram_join.SQL, "warc_payloads": warc.SQL, "packed_documents": packing.SQL, "op6_exact_dedup": block_names.SQL, "op7_secret_scan": secret_scan.SQL, "sharded_sources": sharding.SQL, "op9_suffix_array_dedup": suffixes.SQL,
+}

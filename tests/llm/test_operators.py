@@ -125,6 +125,50 @@ def test_held_out_accuracy(spark):
     assert {r.doc_id for r in quality.keep_clean(held, model).collect()} == {r.doc_id for r in quality.score_with(held, model).where("keep").collect()}
 
 
+def test_a_document_labelled_twice_has_the_worst_label(spark):
+    docs = table(spark, [(i, words(i, 30)) for i in range(60)])
+    rows = [(i, 1, 0) for i in range(60)] + [(i, 0, 0) for i in range(0, 40)] + [(i, 1, 1) for i in range(20)]
+    models = []
+    for seed, parts in ((1, 1), (2, 5), (3, 3)):
+        random.Random(seed).shuffle(rows)
+        models.append(quality.train(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int").repartition(parts)))
+    assert all(np.array_equal(m.means, models[0].means) and np.array_equal(m.factors, models[0].factors) for m in models)
+    assert np.allclose(np.exp(models[0].log_prior), 1 / 3)
+
+
+def test_marks_and_lengths_of_lexicon_words():
+    lexicon = hmm.word_hashes(*(lambda b: (b, spans(b, np.array([0, len(b)]))[0]))(np.frombuffer(b"bad q " + b"x" * 100, np.uint8)))
+    texts = ["bad", "Bad!!!!!!!", "bad.,;:!?#$%&*", "q?", "badly", "b.ad", "!!!!", "x" * 100 + "!", "bad fine bad. q", ""]
+    at = quality.FEATURES.index("lexicon")
+    assert np.expm1(quality.statistics(pa.array(texts), np.sort(lexicon))[:, at]).round().astype(int).tolist() == [1, 1, 1, 1, 0, 0, 0, 1, 3, 0]
+
+
+def plain_statistics(text, lexicon):
+    """The statistics of a text, character by character."""
+    w, n = text.split(), max(1, len(text.encode()))
+    if not w:
+        return [0.0] * len(quality.FEATURES)
+    low = [x.encode().lower() for x in w]
+    count = collections.Counter(low)
+    raw_ = text.encode()
+    some = lambda chars: sum(chr(b) in chars for b in raw_)
+    symbols, stops = "#$%&*@^~|<>{}[]\\_=+/", ".,;:!?"
+    return [
+        np.log1p(len(w)), np.log1p((n - sum(b == 195 for b in raw_)) / len(w)), np.sqrt(some("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / n), np.sqrt(some("0123456789") / n), np.sqrt(some(symbols) / n), np.sqrt(some(stops) / len(w)),
+        np.log1p(len(w) / (text.count("\n") + 1)), np.log1p(len(count)) / np.log1p(len(w)), np.sqrt(max(count.values()) / len(w)), np.sqrt(sum(chr(x[-1]) in symbols for x in low) / len(w)),
+        np.log1p(sum(x.decode() in lexicon or x.decode().rstrip(quality.MARKS) in lexicon for x in low)),
+    ]
+
+
+def test_statistics_equal_plain_ones():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc ABé1#.!\n\t") for _ in range(rng.randrange(200))) for _ in range(200)] + ["", "a", "  "]
+    lexicon = {"a", "bé", "cab"}
+    buf = np.frombuffer("\n".join(sorted(lexicon)).encode(), np.uint8)
+    got = quality.statistics(pa.array(texts), np.sort(word_hashes(buf, spans(buf, np.array([0, len(buf)]))[0])))
+    assert np.allclose(got, [plain_statistics(t, lexicon) for t in texts])
+
+
 # --- 2 ----------------------------------------------------------------------
 
 
@@ -413,7 +457,7 @@ def test_shards_are_ranges_of_bounded_size(spark):
     rng = random.Random(5)
     rows = [(i, "t" * rng.randrange(400), "en", "hot" if rng.random() < 0.6 else f"s{rng.randrange(9)}", 0) for i in range(1500)] + [(7777, "t" * 300, "en", "hot", 0)] * 60
     rng.shuffle(rows)
-    out = sharding.shards(spark.createDataFrame(rows, DOCS).repartition(4), shard_bytes=8000, oversample=32)
+    out = sharding.shards(spark.createDataFrame(rows, DOCS).repartition(4), shard_bytes=8000, least=1, oversample=32)
     from pyspark.sql import functions as F
 
     got = out.withColumn("part", F.spark_partition_id()).collect()
@@ -429,6 +473,26 @@ def test_shards_are_ranges_of_bounded_size(spark):
     assert max(size.values()) <= 1.5 * 8000 * 1.35 and len(order) >= sum(size.values()) / 12000
 
 
+def test_awkward_rows_are_sharded_too(spark):
+    rows = AWKWARD[:10] * 30 + [(7, "x")] * 200
+    docs = table(spark, [r for r in rows if r[1] != LONG], extra=True).repartition(5)
+    wild = docs.selectExpr("doc_id", "text", "CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE concat('é', doc_id) END AS source", "uid", "shard", "_key")
+    for d in (docs, wild):
+        for size in (40, 300, 10**9):
+            out = sharding.shards(d, shard_bytes=size, least=1)
+            got = out.collect()
+            plain = lambda rs: sorted(((r.doc_id, r.text, r.source) for r in rs), key=repr)
+            assert plain(got) == plain(d.collect()) and set(out.columns) == set(d.columns)
+            key = lambda r: ((r.source is not None, r.source or ""), (r.doc_id is not None, r.doc_id or 0))
+            by = {}
+            for r in got:
+                by.setdefault(r.shard, []).append(key(r))
+            order = sorted(by)
+            assert all(max(by[a]) < min(by[b]) or max(by[a]) == min(by[b]) == max(by[b]) for a, b in zip(order, order[1:])) and (len(order) > 10 or size > 40) and (size < 10**9 or len(order) == 1)
+            assert all(r.shards_disjoint for r in sharding.held(d, shard_bytes=size, least=1).collect())
+    assert sharding.held(table(spark, [])).count() == 0
+
+
 # --- 9 ----------------------------------------------------------------------
 
 
