@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +15,9 @@ ERROR_RATE = 0.1
 SLICE_CHARS = 8_000_000
 
 
-def normal(text):
-    """Column: lower case, runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(text), "[ \\t\\n\\x0B\\f\\r]+", " "))
+def normal(texts: pa.Array) -> pa.Array:
+    """Lower case, runs of ASCII white space as one space, none at the ends."""
+    return pc.binary_join(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.utf8_lower(texts))), " ")
 
 
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
@@ -78,6 +79,19 @@ def ancestors(cuts: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
     return paths
 
 
+def within_one(piece: str, text: str) -> bool:
+    """Whether some beginning of text is piece with at most one error."""
+    if text.startswith(piece):
+        return True
+    n, i = len(piece), 0
+    for a, b in zip(piece, text):
+        if a != b:
+            break
+        i += 1
+    rest = piece[i + 1 :]
+    return text[i + 1 : n] == rest or text[i : n - 1] == rest or text[i + 1 : n + 1] == piece[i:]
+
+
 class Matcher:
     """All pieces of all items in one Aho-Corasick automaton; built once for each task."""
 
@@ -90,7 +104,13 @@ class Matcher:
             parts = pieces(t, budget)
             for (at, piece), path in zip(parts, ancestors([(a, a + len(p)) for a, p in parts])):
                 # the whole item comes last and is verified on merged windows
-                table.setdefault(piece, []).append((k, at, [(at - a, b - at, e, t[a:b]) for a, b, e in path[:-1]]))
+                steps = [(at - a, b - at, e, t[a:b]) for a, b, e in path[:-1]]
+                side = pair = None
+                if path and path[0][2] == 1:  # a pair of pieces: the other one lies right beside this one
+                    a, b, _ = path[0]
+                    side, pair = (t[at + len(piece) : b], None) if a == at else (None, t[a:at][::-1])
+                    steps = steps[1:]
+                table.setdefault(piece, []).append((k, at, side, pair, steps))
         self.machine = ahocorasick.Automaton()
         for piece, owners in table.items():
             self.machine.add_word(piece, (len(piece), owners))
@@ -102,14 +122,19 @@ class Matcher:
         """(item_id, distance) of every item that occurs in text within its budget.
 
         From an exact piece the match is extended piece by piece, each step with
-        the budget that joined pieces have; only hits that reach the whole item are verified on it.
+        the budget that joined pieces have, the first one right beside the piece, the others by Myers' algorithm; only hits that reach the whole item are verified on it.
         """
         if not self.some or not text:
             return
         windows: dict[int, list[tuple[int, int]]] = {}
         for end, (size, owners) in self.machine.iter(text):
             p = end + 1 - size
-            for k, at, path in owners:
+            for k, at, after_it, before_it, path in owners:
+                if after_it is not None:
+                    if not within_one(after_it, text[end + 1 : end + 2 + len(after_it)]):
+                        continue
+                elif before_it is not None and not within_one(before_it, text[max(0, p - len(before_it) - 1) : p][::-1]):
+                    continue
                 for before, after, e, part in path:
                     if myers(part, text[max(0, p - before - e) : p + after + e], e) is None:
                         break
@@ -149,7 +174,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, slice
     Other columns are not read.  Empty tables give no rows.
     """
     given = _broadcasts(docs.sparkSession, benchmark, slice_chars)
-    texts = docs.select("doc_id", normal(F.col("text").cast("string")).alias("text")).where("length(text) > 0")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("length(text) > 0")
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = None
     for part in given:
@@ -160,12 +185,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, slice
 
 def _broadcasts(spark, benchmark: DataFrame, slice_chars: int) -> list:
     """The items in slices that are small enough to be sent to every executor."""
-    items = benchmark.select(F.col("item_id").cast("long"), normal(F.col("text")).alias("text")).where("length(text) > 0").distinct()
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).where("length(text) > 0").distinct()
     number = max(1, -(-(items.agg(F.sum(F.length("text"))).collect()[0][0] or 0) // slice_chars))
     out = []
     for k in range(number):
         part = items if number == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(number)) == k)
-        out.append(spark.sparkContext.broadcast(sorted((r.item_id if r.item_id is not None else -1, r.text, r.item_id is None) for r in part.collect())))
+        rows = part.collect()
+        plain = normal(pa.array([r.text for r in rows], pa.string())).to_pylist()
+        out.append(spark.sparkContext.broadcast(sorted({(r.item_id if r.item_id is not None else -1, t, r.item_id is None) for r, t in zip(rows, plain) if t})))
     return out
 
 
@@ -173,7 +200,7 @@ def _scan(given, rate: float):
     def scan(batches):
         matcher = Matcher([(None if null else i, t) for i, t, null in given.value], rate)
         for b in batches:
-            ids, texts = column(b, "doc_id"), column(b, "text")
+            ids, texts = column(b, "doc_id"), normal(column(b, "text"))
             row, item, distance = [], [], []
             for k in range(b.num_rows):
                 for i, d in matcher.find(texts[k].as_py()):
@@ -191,7 +218,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, slice
     Null and empty texts stay.
     """
     for part in _broadcasts(docs.sparkSession, benchmark, slice_chars):
-        docs = docs.where(_holds_none(part, rate)(normal(F.col("text").cast("string"))))
+        docs = docs.where(_holds_none(part, rate)(F.col("text").cast("string")))
     return docs
 
 
@@ -199,7 +226,7 @@ def _holds_none(given, rate: float):
     @F.arrow_udf(T.BooleanType())
     def holds_none(texts: pa.Array) -> pa.Array:
         matcher = _matcher(given, rate)
-        return pa.array([next(matcher.find(t or ""), None) is None for t in texts.to_pylist()], pa.bool_())
+        return pa.array([next(matcher.find(t or ""), None) is None for t in normal(texts).to_pylist()], pa.bool_())
 
     return holds_none
 

@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._dist import Scratch
-from ._text import chain, column, slices, spans, word_hashes
+from ._text import chain, column, mix, slices, spans, word_hashes
 
 LENGTH = 50
 SEED = 16
@@ -207,18 +208,19 @@ def flagged(words: list[np.ndarray], low: np.ndarray, high: np.ndarray, length:
 def repeated_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED, collection: int = COLLECTION, in_memory: int = IN_MEMORY) -> DataFrame:
     """Rows (doc_id, start_word, end_word, n_words): the maximal stretches of a document covered by passages of at least ``length`` words that occur in another document too.
 
-    Words are runs of anything but ASCII white space and compared exactly.
+    Words are runs of anything but ASCII white space and compared by 64-bit hashes, whole pieces by hashes of those.
     Passages that one document repeats but no other has are not reported; rows
     of the same doc_id are one document, and their stretches are united.  Every
     copy is reported, the first one as well.  Rows whose doc_id or text is null and texts
     of fewer than ``length`` words have no rows here.  Other columns are not read.
 
-    Keys that occur in one document only are dropped before texts are moved;
+    doc_id must be an integer column.  Keys that occur in one document only are dropped before texts are moved;
     equal pieces of a key are merged, with their least and greatest doc_id, while they are
     shuffled, so a passage in a million documents is one piece.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "suffixes")
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be an integer column")
+    scratch = Scratch(docs.sparkSession, "suffixes")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def keys_of(batches):
@@ -235,32 +237,10 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED, c
                     order = order[new]
                     yield pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(ids[lo + doc[order]])], ["key", "doc_id"])
 
-    def shared(batches):
-        """The (doc_id, key) of keys with two documents; rows come sorted by (key, doc_id)."""
-        last_key = last_doc = None
-        told = True
-        for b in batches:
-            key, doc = column(b, "key").to_numpy(), column(b, "doc_id").to_numpy()
-            n = len(key)
-            if not n:
-                continue
-            new = np.ones(n, bool)
-            new[1:] = key[1:] != key[:-1]
-            goes_on = last_key is not None and key[0] == last_key
-            at = np.flatnonzero(new)
-            ends = np.append(at[1:], n)
-            many = doc[at] != doc[ends - 1]
-            extra = []
-            if goes_on:
-                many[0] = told or doc[ends[0] - 1] != last_doc
-                if many[0] and not told:
-                    extra.append((last_doc, last_key))
-            keep = np.repeat(many, ends - at)
-            keep[1:] &= (doc[1:] != doc[:-1]) | new[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([doc[keep], np.array([d for d, _ in extra], np.int64)])), pa.array(np.concatenate([key[keep], np.array([k for _, k in extra], np.int64)]))], ["doc_id", "key"])
-            last_key, last_doc, told = key[-1], doc[-1], bool(many[-1])
-
-    pairs = texts.mapInArrow(keys_of, "key long, doc_id long").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(shared, "doc_id long, key long")
+    # keys of two documents: a hot key is aggregated before it is shuffled, and the join splits it over several tasks
+    keyed = scratch.table(texts.mapInArrow(keys_of, "key long, doc_id long"), "keys")
+    many = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+    pairs = keyed.join(many.hint("merge"), "key", "left_semi")
     wanted = pairs.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).withColumnRenamed("doc_id", "_id")
 
     def cut(batches):
@@ -283,11 +263,63 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED, c
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(prints, np.int64)), pa.array(ids[lo + doc]), pa.array((at - first[doc]).astype(np.int64)), pa.array(raw)], ["key", "print", "doc_id", "start", "words"])
 
     pieces = scratch.table(texts.join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "keys").mapInArrow(cut, "key long, print long, doc_id long, start long, words string"), "pieces")
-    merged = pieces.groupBy("key", "print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("words").alias("words"))
-    folder = scratch.path("columns")
+    distinct = pieces.select("key", "print", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"), "words")
+    found = _windows(scratch, distinct, 1, length, seed, collection, in_memory)
+    covered = pieces.select("key", "print", "doc_id", "start").join(found, ["key", "print"]).select("doc_id", (F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.col("hi") + length).alias("e"))
+    ordered = Window.partitionBy("doc_id").orderBy("s", "e")
+    reach = covered.withColumn("reach", F.max("e").over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+    island = reach.withColumn("island", F.sum(F.when(F.col("s") <= F.col("reach"), 0).otherwise(1)).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy("doc_id", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word")).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
+
+
+def _windows(scratch: Scratch, pieces: DataFrame, rank: int, length: int, seed: int, collection: int, in_memory: int) -> DataFrame:
+    """Rows (key, print, lo, hi): runs of windows lo ... hi, of each different piece of pieces (key, print, low, high, words), that two documents hold.
+
+    A key whose different pieces may have more than ``collection`` words, such as that of a phrase in the midst of ever other texts, is no collection
+    for one task: its pieces are cut again by the next least hash (of this rank) of their windows, which depends on the window's words only as well, so equal windows
+    still meet; and so on until every key fits.
+    """
+    width = length - seed + 1
+    merged = pieces.groupBy("key", "print").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("words").alias("words"))
+
+    def collections(df: DataFrame) -> DataFrame:
+        return df.repartition("key").sortWithinPartitions("key", "print").mapInArrow(_order(length, collection, scratch.path("columns"), in_memory), "key long, print long, lo long, hi long")
+
+    number = pieces.select("key", "print").distinct().groupBy("key").count()
+    hot = scratch.table(number.where(F.col("count") * (length + width - 1) > collection).select("key"), f"hot-{rank}")
+    if rank >= width or not hot.limit(1).count():
+        return collections(merged)
+
+    def again(batches):
+        for b in batches:
+            words = column(b, "words")
+            for lo, hi, buf, offs in slices(words):
+                starts, ends, first = spans(buf, offs)
+                h = word_hashes(buf, starts)
+                rows = []
+                for k in range(hi - lo):
+                    mine = h[first[k] : first[k + 1]]
+                    near = np.sort(np.lib.stride_tricks.sliding_window_view(chain(mine, seed), width), axis=1)[:, rank]
+                    cuts = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
+                    for x, y in zip(cuts, np.append(cuts[1:], len(near))):
+                        a, z = first[k] + x, first[k] + y + length - 2
+                        rows.append((k, x, near[x], _print(h[a : z + 1]), buf[starts[a] : ends[z]].tobytes().decode("utf-8", "surrogatepass")))
+                at = np.array([r[0] for r in rows]) + lo
+                key = column(b, "key").to_numpy()[at]
+                new = mix(key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array([r[2] for r in rows], np.uint64)).view(np.int64)
+                took = [column(b, c).take(pa.array(at)) for c in ("key", "print", "low", "high")]
+                yield pa.RecordBatch.from_arrays([*took, pa.array(np.array([r[1] for r in rows], np.int64)), pa.array(new), pa.array(np.array([r[3] for r in rows], np.int64)), pa.array([r[4] for r in rows])], ["key0", "print0", "low", "high", "off", "key", "print", "words"])
+
+    cut = scratch.table(merged.join(hot, "key", "left_semi").mapInArrow(again, "key0 long, print0 long, low long, high long, off long, key long, print long, words string"), f"cut-{rank}")
+    below = _windows(scratch, cut.select("key", "print", "low", "high", "words"), rank + 1, length, seed, collection, in_memory)
+    up = below.join(cut.select("key", "print", "key0", "print0", "off"), ["key", "print"]).select(F.col("key0").alias("key"), F.col("print0").alias("print"), (F.col("lo") + F.col("off")).alias("lo"), (F.col("hi") + F.col("off")).alias("hi"))
+    return collections(merged.join(hot, "key", "left_anti")).unionByName(up)
+
+
+def _order(length: int, collection: int, folder: str, in_memory: int):
+    """Whole keys, gathered into collections of about ``collection`` symbols."""
 
     def order(batches):
-        """Whole keys, gathered into collections of about ``collection`` symbols."""
         held: list[tuple] = []
         size, last = 0, None
         for b in batches:
@@ -303,12 +335,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED, c
         if held:
             yield _flag(held, length, folder, in_memory)
 
-    found = merged.repartition("key").sortWithinPartitions("key", "print").mapInArrow(order, "key long, print long, lo long, hi long")
-    covered = pieces.select("key", "print", "doc_id", "start").join(found, ["key", "print"]).select("doc_id", (F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.col("hi") + length).alias("e"))
-    ordered = Window.partitionBy("doc_id").orderBy("s", "e")
-    reach = covered.withColumn("reach", F.max("e").over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
-    island = reach.withColumn("island", F.sum(F.when(F.col("s") <= F.col("reach"), 0).otherwise(1)).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("doc_id", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word")).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
+    return order
 
 
 def _member(doc: np.ndarray, key: np.ndarray, have_doc: np.ndarray, have_key: np.ndarray) -> np.ndarray:

@@ -222,6 +222,17 @@ def test_an_id_with_two_texts_keeps_a_row_of_each_group(spark):
     assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == [1, 2, 2]
 
 
+def test_a_phrase_in_the_midst_of_many_texts_is_cut_until_its_collections_fit(spark):
+    phrase, shared = words(1, 16, 10**6), words(2, 12, 10**6)
+    texts = [" ".join([words(10 + i, 30, 10**6), *([shared] if i % 50 == 0 else []), phrase, words(5000 + i, 30, 10**6)]) for i in range(400)]
+    docs = table(spark, list(enumerate(texts)))
+    want = {tuple(r) for r in suffixes.repeated_passages(docs, length=20, seed=8).collect()}
+    got = {tuple(r) for r in suffixes.repeated_passages(docs, length=20, seed=8, collection=300).collect()}
+    assert got == want and {r[0] for r in want} == set(range(0, 400, 50)) and all(r[2] - r[1] >= 28 for r in want)
+    with pytest.raises(TypeError):
+        suffixes.repeated_passages(docs.selectExpr("'a' AS doc_id", "text"))
+
+
 def test_gram_sets_and_chains():
     buf, offs = raw(pa.array(["a b c d a b c", "", None, "a b", "a b c"]))
     starts, _, first = spans(buf, offs)
@@ -533,7 +544,7 @@ def test_passages_equal_brute_force(spark):
             g = [x for _, x in g]
             want.add((i, g[0], g[-1] + 1, len(g)))
     docs = table(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]).repartition(3)
-    for how in ({}, {"collection": 50, "in_memory": 40}):
+    for how in ({}, {"collection": 50, "in_memory": 40}, {"collection": 400}):  # with columns in files, and with keys cut again
         got = {tuple(r) for r in suffixes.repeated_passages(docs, length=10, seed=4, **how).collect()}
         assert got == want and len(want) > 20
 
@@ -562,6 +573,24 @@ def test_myers_and_pieces():
         assert "".join(p for _, p in decontaminate.pieces(item, e)) == item and len(decontaminate.pieces(item, e)) == e + 1
 
 
+def test_within_one_error():
+    rng = random.Random(4)
+    for _ in range(4000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(n))) for n in (6, 8))
+        want = min(lev(a, b[:k]) for k in range(len(b) + 1)) <= 1
+        assert decontaminate.within_one(a, b) == want, (a, b)
+
+
+def lev(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        now = [i]
+        for j, d in enumerate(b, 1):
+            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (c != d)))
+        row = now
+    return row[-1]
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(11)
     items = [(k, "".join(rng.choice("abcdef ") for _ in range(rng.randrange(3, 70)))) for k in range(30)]

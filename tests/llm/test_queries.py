@@ -87,3 +87,50 @@ def test_pipeline_equals_brute_force(spark):
         load[r.bin] = load.get(r.bin, 0) + r.length
     assert size == {i: len(t.split()) for i, t in kept.items()} and max(load.values()) <= packing.CAPACITY
     assert len(load) <= 1.1 * sum(load.values()) / packing.CAPACITY + 2
+
+
+def test_decontamination_query_equals_brute_force(spark):
+    """Every item against every text: the least edit distance to any passage, row by row of the whole matrix."""
+    norm = lambda t: " ".join((t or "").lower().split())
+    docs = [(i, norm(t)) for i, t in rows("documents").select("doc_id", "text").fetchall()]
+    gap = "\0" * 100  # wider than any budget: no passage crosses it
+    text = gap.join(t for _, t in docs)
+    begin = np.cumsum([0] + [len(t) + len(gap) for _, t in docs])[:-1]
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    want, step = set(), np.arange(len(codes) + 1, dtype=np.int32)
+    for item, t in rows("benchmark").select("item_id", "text").fetchall():
+        t = norm(t)
+        budget = decontaminate.budget_of(t, decontaminate.ERROR_RATE)
+        assert budget < len(gap)
+        row = np.zeros(len(codes) + 1, np.int32)
+        for i, c in enumerate(t, 1):
+            now = np.empty_like(row)
+            now[0] = i
+            np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)), out=now[1:])
+            row = np.minimum.accumulate(now - step) + step
+        best = np.minimum.reduceat(row[1:], np.minimum(begin, len(codes) - 1))
+        want |= {(i, item, int(d)) for (i, s), d in zip(docs, best) if s and d <= budget}
+    got = queries.QUERIES["op10_decontamination"](spark, SF)
+    assert {tuple(r) for r in got.select("doc_id", "item_id", "distance").collect()} == want and got.count() == len(want) > 3
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """Nulls, blanks, repeated rows, clashing columns and no rows at all, through all five stages in sequence."""
+    texts = [(1, "same text here again"), (2, "same text here again"), (2, "same text here again"), (None, "same text here again"), (3, None), (None, None), (4, ""), (6, " \n "), (7, "x"), (8, "words " * 5000), (7, "another text of id seven")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard string, _key string, bin string"
+    for name, given in (("some", [(i, t, "en", "s", None, "a", "b", "c") for i, t in texts]), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(given, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (7, 0, 0), (8, 1, 0), (None, None, 1)] if given else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "nothing like that"), (None, None), (2, "")] if given else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        table = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, folder)
+            assert out.columns == schema.replace(" string", "").replace(" long", "").split(", ")
+            table = spark.createDataFrame(out.collect(), out.schema)
+        kept = {r.doc_id: len(r.text.split()) for r in table.collect()}
+        got = corpus_pipeline.run(spark, folder).collect()
+        size = {}
+        for r in got:
+            size[r.doc_id] = size.get(r.doc_id, 0) + r.length
+        assert set(size) == set(kept) and (kept or not given) and sum(size.values()) == sum(len(r.text.split()) for r in table.collect())
