@@ -135,37 +135,28 @@ def run(args: argparse.Namespace) -> int:
 
 
 def _measure(args: argparse.Namespace, config: cf.Config) -> int:
+    """On the configured corpus or the paths given; with --fixtures on the five corpora of our own."""
     from pyspark.sql import functions as F
 
-    from .operators import chunking, measure, retrieval
+    from .operators import measure
 
     spark = _session()
-    docs = migrate.corpus(spark, config, tuple(args.paths))
+    if args.fixtures:
+        docs, questions = measure.own_corpora(spark), measure.own_questions(spark)
+    else:
+        docs = migrate.corpus(spark, config, tuple(args.paths)).select(F.lit("corpus").alias("corpus"), "document_id", "text")
     if args.command == "measure-churn":
-        _show(_rows(measure.benchmark_churn(docs).orderBy("strategy", "operation")), args.json)
+        results = measure.benchmark_churn(docs)
+        rows = _rows(results.orderBy("strategy", "corpus", "operation"))
+        _show({"results": rows, "totals": _rows(measure.totals(results).orderBy("strategy"))} if args.json else rows, args.json)
         return 0
-    questions = spark.read.schema("question_id string, query string, evidence array<string>").json(args.questions)
-    from .functions import scoring
-    from .functions.text import holds_evidence
-    from .operators.embedding import HashProvider, embed
-
-    def vectors(df, key, text):
-        return embed(df.select(F.col(key).alias("chunk_hash"), F.col(text).alias("text"), F.lit(0).alias("token_count")), HashProvider()).select(F.col("chunk_hash").alias(key), "vector")
-
-    out = []
-    for name, chunker in measure.default_strategies().items():
-        chunks = chunking.chunk_documents(docs, chunker).select(F.concat_ws(":", "document_id", "position").alias("chunk_id"), "text")
-        relevant = chunks.crossJoin(questions).where(holds_evidence(F.col("text"), F.col("evidence"))).select("question_id", "chunk_id")
-        missing = questions.join(relevant, "question_id", "left_anti").select("question_id").orderBy("question_id").limit(5).collect()
-        if missing:
-            raise ValueError(f"strategy {name} has no chunk that holds the evidence of " + ", ".join(repr(r.question_id) for r in missing))
-        hashed = vectors(chunks, "chunk_id", "text").crossJoin(vectors(questions, "question_id", "query").withColumnRenamed("vector", "query_vector"))
-        hashed = hashed.select("question_id", "chunk_id", scoring.cosine(F.col("vector"), F.col("query_vector")).alias("score"))
-        for scorer, scores in (("lexical", retrieval.tfidf_scores(chunks, questions)), ("hash-embedding", hashed)):
-            q = retrieval.retrieval_quality(retrieval.ranked(scores), relevant)
-            row = q.agg(F.avg("recall").alias("recall_at_5"), F.avg("ndcg").alias("ndcg_at_10"), F.count("*").alias("questions")).collect()[0].asDict()
-            out.append({"strategy": name, "scorer": scorer} | row)
-    _show(out, args.json)
+    if not args.fixtures:
+        if not args.questions:
+            raise ValueError("name a file of questions or use --fixtures")
+        questions = spark.read.schema("question_id string, query string, evidence array<string>").json(args.questions).select(F.lit("corpus").alias("corpus"), "*")
+    found = measure.benchmark_retrieval(docs, questions)
+    means = found.groupBy("strategy", "scorer").agg(F.avg("recall").alias("recall_at_5"), F.avg("ndcg").alias("ndcg_at_10"), F.count("*").alias("questions"))
+    _show(_rows(means.orderBy("strategy", F.desc("scorer"))), args.json)
     return 0
 
 
@@ -194,9 +185,9 @@ def parser() -> argparse.ArgumentParser:
     m = add("migrate", flags=("--apply", "--rollback", "--allow-network"))
     m.add_argument("--chunker", help="JSON of changed keys")
     m.add_argument("--embedding", help="JSON of changed keys")
-    add("measure-churn").add_argument("paths", nargs="*")
-    r = add("measure-retrieval")
-    r.add_argument("--questions", required=True)
+    add("measure-churn", flags=("--fixtures",)).add_argument("paths", nargs="*")
+    r = add("measure-retrieval", flags=("--fixtures",))
+    r.add_argument("--questions")
     r.add_argument("paths", nargs="*")
     add("cache-stats")
     c = add("cache-prune")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 WORD = r"(?U)[^\s\x1c-\x1f]+"
 MARK = "\u0001"  # stands before a word that begins a paragraph
 _PARAGRAPH = r"(?U)\s*\n[\t\f\x0B ]*\n\s*"
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "does", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "to", "what", "when", "with")
+STOP_WORDS = tuple("a an and are at be by do does for how in is it of on or the to what when where which with".split())
 
 
 @F.arrow_udf(T.StringType())

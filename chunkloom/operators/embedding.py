@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import identity
 from ..functions.scoring import MAX_DIMENSIONS
@@ -56,16 +57,25 @@ class HashProvider:
         return got
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
-        out = []
+        return self.matrix(texts).tolist()
+
+    def matrix(self, texts: Sequence[str]) -> np.ndarray:
+        """A row of unit length for each text, zeros for one without a word."""
+        known, feature = self._memo, self._feature
+        found, count = [], []
         for text in texts:
             tokens = [t.casefold() for t in _TOKEN.findall(text)]
-            vector = np.zeros(self.dimensions)
-            for f in [*tokens, *(f"{a}\x1f{b}" for a, b in zip(tokens, tokens[1:]))]:
-                at, sign = self._feature(f)
-                vector[at] += sign
-            size = math.sqrt(float((vector * vector).sum()))
-            out.append((vector / size if size else vector).tolist())
-        return out
+            found += [known.get(f) or feature(f) for f in tokens]
+            found += [known.get(f) or feature(f) for f in map("\x1f".join, zip(tokens, tokens[1:]))]
+            count.append(max(0, 2 * len(tokens) - 1))
+        n = len(count)
+        if not found:
+            return np.zeros((n, self.dimensions))
+        at, sign = np.array(found).T
+        row = np.repeat(np.arange(n), count)
+        out = np.bincount(row * self.dimensions + at.astype(np.int64), sign, minlength=n * self.dimensions).reshape(n, self.dimensions)
+        size = np.sqrt((out * out).sum(1, keepdims=True))
+        return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
 
 
 class OpenAIProvider:
@@ -157,6 +167,21 @@ def embed(chunks: DataFrame, provider: Provider, batch_size: int = 64) -> DataFr
     return chunks.select("chunk_hash", "text", F.col("token_count").cast("int")).mapInArrow(run, "chunk_hash string, text string, token_count int, vector array<float>")
 
 
+def with_vectors(df: DataFrame, provider: Provider, batch_size: int = 64) -> DataFrame:
+    """df with a column vector: the provider's for the column text; a null text counts as empty."""
+    schema = T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
+    at = df.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, batch_size):
+                part = b.slice(k, batch_size)
+                vectors = embed_texts(provider, [t or "" for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32()))], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def unique_inputs(chunks: DataFrame) -> DataFrame:
     """One (chunk_hash, text, token_count) a hash; fails if a hash comes with two texts or counts."""
     one = chunks.groupBy("chunk_hash").agg(F.min("text").alias("text"), F.max("text").alias("other"), F.min("token_count").alias("token_count"), F.max("token_count").alias("tokens"))

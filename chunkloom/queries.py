@@ -292,8 +292,8 @@ def append_edit_churn(spark, sf):
 
 @query()
 def churn_grid(spark, sf):
-    """Every strategy on every edit of the conversations."""
-    return measure.benchmark_churn(_talks(spark, sf))
+    """Every strategy on every edit of the five corpora of our own: 225 rows, 45 a strategy."""
+    return measure.benchmark_churn(measure.own_corpora(spark))
 
 
 # --- scores -----------------------------------------------------------------
@@ -310,12 +310,12 @@ def cosine_top_k(spark, sf):
     return retrieval.top_k(e, vector, 20, ("vec_id",)).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q),
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank, round(s, 6) AS score FROM r WHERE rank <= 20""")
 def cosine_top_k_every(spark, sf):
-    """The 20 nearest of every embedding, itself among them; none of an empty table."""
+    """The 20 nearest, among all embeddings, of every one whose id is divisible by 100; none of an empty table."""
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
-    queries = e.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
     return retrieval.top_k_many(e, queries, 20, ("vec_id",)).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -351,8 +351,8 @@ _RELEVANT = f"rel AS (SELECT item_id AS q, doc_id AS c FROM documents d JOIN ben
 
 
 def _relevant(spark, sf):
-    d, b = _docs(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("question_id"), F.col("text").alias("passage"))
-    return d.crossJoin(b).where(tx.holds_evidence(F.col("text"), F.array("passage"))).select("question_id", F.col("doc_id").alias("chunk_id"))
+    b = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("question_id"), F.array("text").alias("evidence"))
+    return retrieval.holding(_docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text"), b, by=())
 
 
 @query(f"WITH {_RELEVANT} SELECT q AS question_id, c AS chunk_id FROM rel")

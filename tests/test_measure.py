@@ -21,5 +21,7 @@ def test_questions_without_evidence_and_both_scorers(spark, tmp_path, capsys, mo
 
     code, said = measured("by the river")
     assert code == 0 and [r["scorer"] for r in json.loads(said.out.strip().splitlines()[-1])] == ["lexical", "hash-embedding"]
+    assert cli.main(["measure-churn", "--config", path, "--json", str(tmp_path / "a.txt")]) != 0  # one sentence supports no deletion
+    capsys.readouterr()
     code, said = measured("by the river", "not there")
     assert code != 0 and "q1" in said.err
