@@ -19,7 +19,8 @@ THRESHOLD = 0.5
 RECALL = 0.95
 ROWS = 4
 CELL_DOCS = 4000
-CELL_GRAMS = 4_000_000
+CELL_GRAMS = 1_000_000
+CELLS, DENSE = 1 << 20, 256  # of a block of the counts of common grams, and grams multiplied at once
 
 
 def bands_for(threshold: float, recall: float, rows: int) -> int:
@@ -273,7 +274,7 @@ def _verified(node_x, copies_x, x: Sets, node_y, copies_y, y: Sets, threshold: f
     often = np.bincount(cx, minlength=len(both)) * np.diff(at_y) > nx * ny // 30  # by matrix products, the others pair by pair
     dense = np.full(len(both), -1)
     dense[often] = np.arange(often.sum())
-    step = max(1, min(nx, (1 << 22) // max(1, ny)))
+    step = max(1, min(nx, CELLS // max(1, ny)))
     edges: list[tuple[np.ndarray, np.ndarray]] = []
     begin_x = np.searchsorted(ox, np.arange(0, nx + step, step))
     base = 0 if same else nx
@@ -286,31 +287,32 @@ def _verified(node_x, copies_x, x: Sets, node_y, copies_y, y: Sets, threshold: f
         o, c = ox[begin_x[k] : begin_x[k + 1]] - lo, cx[begin_x[k] : begin_x[k + 1]]
         common = np.zeros((hi - lo, ny), np.float32)
         if dense_y is not None:
-            for a in range(0, int(often.sum()), 1024):
-                left, right = np.zeros((hi - lo, 1024), np.float32), np.zeros((1024, ny), np.float32)
+            for a in range(0, int(often.sum()), DENSE):
+                left, right = np.zeros((hi - lo, DENSE), np.float32), np.zeros((DENSE, ny), np.float32)
                 d = dense[c] - a
-                m = (d >= 0) & (d < 1024)
+                m = (d >= 0) & (d < DENSE)
                 left[o[m], d[m]] = 1
                 d = dense_y[0] - a
-                m = (d >= 0) & (d < 1024)
+                m = (d >= 0) & (d < DENSE)
                 right[d[m], dense_y[1][m]] = 1
                 common += left @ right
         o, c = o[~often[c]], c[~often[c]]
         width = at_y[c + 1] - at_y[c]
-        cuts = np.searchsorted(np.cumsum(width), np.arange(0, int(width.sum()) + 4_000_000, 4_000_000))
+        cuts = np.searchsorted(np.cumsum(width), np.arange(0, int(width.sum()) + CELLS, CELLS))
         for a, z in zip(cuts, cuts[1:]):
             w = width[a:z]
             if len(w):
                 row = np.repeat(o[a:z], w)
                 col = oy[np.repeat(at_y[c[a:z]] - np.cumsum(w) + w, w) + np.arange(w.sum())]
                 common += np.bincount(row * ny + col, minlength=common.size).reshape(common.shape).astype(np.float32)
-        shared = common.astype(np.float64)
-        ok = shared / (size_x[lo:hi, None] + size_y[None, :] - shared) >= threshold
+        union = (size_x[lo:hi, None] + size_y[None, :]).astype(np.float64)
+        union -= common
+        ok = common / union >= threshold
         if same:
             ok[np.arange(hi - lo), np.arange(lo, hi)] = False
-        links[lo:hi] += ok @ copies_y
+        links[lo:hi] += (ok @ copies_y.astype(np.float64)).astype(np.int64)
         if not same:
-            links[base:] += copies_x[lo:hi] @ ok
+            links[base:] += (copies_x[lo:hi].astype(np.float64) @ ok).astype(np.int64)
         i, j = np.nonzero(ok)
         edges.append((i + lo, j + base))
         root = _joined(root, edges.pop())

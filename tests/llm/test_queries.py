@@ -111,7 +111,7 @@ def test_decontamination_query_equals_brute_force(spark):
         best = np.minimum.reduceat(row[1:], np.minimum(begin, len(codes) - 1))
         want |= {(i, item, int(d)) for (i, s), d in zip(docs, best) if s and d <= budget}
     got = queries.QUERIES["op10_decontamination"](spark, SF)
-    assert {tuple(r) for r in got.select("doc_id", "item_id", "distance").collect()} == want and got.count() == len(want) > 3
+    assert {tuple(r) for r in got.select("doc_id", "item_id", "distance").collect()} == want and got.count() == len(want) > 2
 
 
 def test_pipeline_on_awkward_tables(spark, tmp_path):
