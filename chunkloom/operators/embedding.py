@@ -190,11 +190,11 @@ def unique_inputs(chunks: DataFrame) -> DataFrame:
     return one.select("chunk_hash", checked.alias("text"), "token_count")
 
 
-def embed_with_cache(chunks: DataFrame, provider: Provider, cache, batch_size: int = 64, parts: int = 1) -> tuple[DataFrame, int, int]:
+def embed_with_cache(chunks: DataFrame, provider: Provider, cache, batch_size: int = 64, parts: int | None = None, part_rows: int = 10_000) -> tuple[DataFrame, int, int]:
     """(chunk_hash -> vector for all chunks, cache hits, newly embedded).
 
     Only hashes that the cache lacks are embedded; they are added to it in
-    ``parts`` slices, each durable before the next begins, so a failed run goes on where it stopped.
+    ``parts`` slices, by default of about part_rows and at most 64, each durable before the next begins, so a failed run goes on where it stopped.
     """
     from ..shared import written
 
@@ -202,6 +202,7 @@ def embed_with_cache(chunks: DataFrame, provider: Provider, cache, batch_size: i
     known = cache.vectors(provider.model_id, provider.params_hash)
     missing = written(wanted.join(known.select("chunk_hash"), "chunk_hash", "left_anti"), "missing")
     total, new = wanted.count(), missing.count()
+    parts = parts or min(64, -(-new // part_rows))
     for k in range(parts if new else 0):
         part = missing if parts == 1 else missing.where(F.pmod(F.xxhash64("chunk_hash"), F.lit(parts)) == k)
         cache.put(embed(part, provider, batch_size), provider.model_id, provider.params_hash, provider.dimensions)

@@ -11,7 +11,7 @@ from .functions import identity as I
 from .functions import scoring, text as tx
 from .operators import chunking as ch
 from .operators import diff, embedding, measure, merkle, retrieval
-from .plans import store
+from .plans import manifest as mf, store
 from .sources import cache
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -424,18 +424,77 @@ def index_status(spark, sf):
 @query("SELECT NULL::VARCHAR AS document_id, NULL::INT AS position, NULL::VARCHAR AS problem WHERE false")
 def verify_consistent(spark, sf):
     """A sound index has no problem."""
-    rows = store.merge_snapshot(spark.createDataFrame([], store.CHUNKS), _rows(_docs(spark, sf)), F.lit(T1).cast("timestamp"))
-    documents = merkle.document_roots(rows).join(rows.groupBy("document_id").agg(F.count("*").alias("hard_cuts")), "document_id").withColumn("metadata", F.lit(None).cast("string"))
-    return store.verify(rows, documents, 2, "m", "p")
+    rows, documents, manifests = _sound(spark, sf)
+    return store.verify(rows, documents, manifests, 2, "m", "p")
+
+
+def _sound(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    d = _docs(spark, sf)
+    rows = store.merge_snapshot(spark.createDataFrame([], store.CHUNKS), _rows(d), F.lit(T1).cast("timestamp"))
+    made = rows.select(*[c for c in rows.columns if c not in ("params_hash", "chunker_params_hash")], F.col("chunker_params_hash").alias("params_hash"))
+    manifests = mf.document_manifests(made, d.select("document_id", F.lit(None).cast("string").alias("metadata")))
+    return rows, mf.documents(manifests), manifests
 
 
 @query(f"""WITH {_OLD}, {_OLD_C} SELECT document_id, position, unnest(['text doesn''t match its chunk hash', 'record digest differs']) AS problem FROM old_c WHERE document_id::BIGINT % 17 = 3""")
 def verify_tampered(spark, sf):
     """Texts changed behind the index's back are all found."""
-    rows = store.merge_snapshot(spark.createDataFrame([], store.CHUNKS), _rows(_docs(spark, sf)), F.lit(T1).cast("timestamp"))
-    documents = merkle.document_roots(rows).join(rows.groupBy("document_id").agg(F.count("*").alias("hard_cuts")), "document_id").withColumn("metadata", F.lit(None).cast("string"))
+    rows, documents, manifests = _sound(spark, sf)
     changed = rows.withColumn("text", F.when(F.col("document_id").cast("long") % 17 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    return store.verify(changed, documents, 2, "m", "p")
+    return store.verify(changed, documents, manifests, 2, "m", "p")
+
+
+_N = "document_id::BIGINT"
+
+
+@query(f"""WITH {_OLD}, {_OLD_C}, d AS (SELECT DISTINCT document_id FROM old_c)
+SELECT document_id, NULL::INT AS position, 'document is missing' AS problem FROM d WHERE {_N} % 7 = 1 UNION ALL SELECT document_id, NULL, 'root hash differs' FROM d WHERE {_N} % 7 = 2
+UNION ALL SELECT document_id, NULL, unnest(['chunk count differs', 'hard-cut count differs']) FROM d WHERE {_N} % 7 = 3 UNION ALL SELECT document_id, NULL, 'document metadata differs' FROM d WHERE {_N} % 7 = 4
+UNION ALL SELECT document_id, NULL, unnest(['document metadata is not JSON']) FROM d WHERE {_N} % 7 = 5 UNION ALL SELECT 'x' || document_id, NULL, 'document is unexpected' FROM d WHERE {_N} % 7 = 6""")
+def verify_documents(spark, sf):
+    """Every way in which the documents' state can differ from the manifests."""
+    rows, documents, manifests = _sound(spark, sf)
+    k = F.col("document_id").cast("long") % 7
+    more = documents.where(k == 6).withColumn("document_id", F.concat(F.lit("x"), "document_id"))
+    changed = documents.where(k != 1).withColumns({
+        "root_hash": F.when(k == 2, "other").otherwise(F.col("root_hash")), "chunk_count": F.col("chunk_count") + (k == 3).cast("long"), "hard_cuts": F.col("hard_cuts") - (k == 3).cast("long"),
+        "metadata": F.when(k == 4, '{"a":1}').when(k == 5, "{a").otherwise(F.col("metadata")),
+    })
+    return store.verify(rows, changed.unionByName(more), manifests, 2, "m", "p")
+
+
+@query(f"""WITH {_OLD}, {_OLD_C}, c AS (SELECT *, {_N} % 11 AS k FROM old_c)
+SELECT document_id, position, 'chunk is missing' AS problem FROM c WHERE k = 0 UNION ALL SELECT document_id, position + 100000, 'chunk is unexpected' FROM c WHERE k = 1 UNION ALL SELECT document_id, position, 'more than one active row' FROM c WHERE k = 2
+UNION ALL SELECT document_id, position, unnest(['start offset differs', 'offsets, position or token count out of range', 'record digest differs']) FROM c WHERE k = 3
+UNION ALL SELECT document_id, position, unnest(['end offset differs', 'record digest differs']) FROM c WHERE k = 4 UNION ALL SELECT document_id, position, unnest(['token count differs', 'record digest differs']) FROM c WHERE k = 5
+UNION ALL SELECT document_id, position, unnest(['chunk hash differs', 'text doesn''t match its chunk hash', 'record digest differs']) FROM c WHERE k = 6
+UNION ALL SELECT document_id, position, unnest(['hard cut differs', 'record digest differs']) FROM c WHERE k = 7 UNION ALL SELECT document_id, position, unnest(['chunker differs', 'chunk identity is incomplete', 'record digest differs']) FROM c WHERE k = 8""")
+def verify_positions(spark, sf):
+    """Every way in which rows can differ from the manifests' chunks."""
+    rows, documents, manifests = _sound(spark, sf)
+    k = F.col("document_id").cast("long") % 11
+    moved = rows.where(k == 1).withColumn("position", F.col("position") + 100_000).withColumn("instance_id", F.concat("instance_id", F.lit("-"))).withColumn("record_digest", store.record_digest())
+    twice = rows.where(k == 2).withColumn("instance_id", F.concat("instance_id", F.lit("-"))).withColumn("record_digest", store.record_digest())
+    changed = rows.where(k != 0).withColumns({
+        "start_offset": F.when(k == 3, -1).otherwise(F.col("start_offset")), "end_offset": F.col("end_offset") + (k == 4).cast("int"), "token_count": F.col("token_count") + (k == 5).cast("int"), "chunk_hash": F.when(k == 6, "other").otherwise(F.col("chunk_hash")),
+        "boundary_kind": F.when(k == 7, "primary").otherwise(F.col("boundary_kind")), "chunker_id": F.when(k == 8, "").otherwise(F.col("chunker_id")),
+    })
+    return store.verify(changed.unionByName(moved).unionByName(twice), documents, manifests, 2, "m", "p")
+
+
+@query(f"""WITH {_OLD}, {_OLD_C}, c AS (SELECT *, {_N} % 5 AS k FROM old_c)
+SELECT document_id, position, unnest(['row has another model', 'record digest differs']) AS problem FROM c WHERE k = 0 UNION ALL SELECT document_id, position, unnest(['vector is invalid', 'record digest differs']) FROM c WHERE k = 1
+UNION ALL SELECT document_id, position, unnest(['vector has other dimensions', 'record digest differs']) FROM c WHERE k = 2 UNION ALL SELECT document_id, position, unnest(['metadata is not JSON', 'record digest differs']) FROM c WHERE k = 3
+UNION ALL SELECT document_id, position, unnest(['metadata differs', 'metadata token_count differs', 'metadata chunk_hash differs', 'record digest differs']) FROM c WHERE k = 4""")
+def verify_payloads(spark, sf):
+    """Every way in which models, vectors and metadata of rows can be wrong."""
+    rows, documents, manifests = _sound(spark, sf)
+    k, floats = F.col("document_id").cast("long") % 5, "array<float>"
+    changed = rows.withColumns({
+        "params_hash": F.when(k == 0, "q").otherwise(F.col("params_hash")), "vector": F.when(k == 1, F.array(F.lit("NaN").cast("float"), F.lit(1.0).cast("float"))).when(k == 2, F.array(F.lit(1.0)).cast(floats)).otherwise(F.col("vector")),
+        "metadata": F.when(k == 3, "[1").when(k == 4, '{"chunk_hash":"h","token_count":-1}').otherwise(F.col("metadata")),
+    })
+    return store.verify(changed, documents, manifests, 2, "m", "p")
 
 
 _CACHE = f"{_OLD}, {_OLD_C}, e AS (SELECT chunk_hash, 'm' AS model_id, 'p' AS params_hash, min(token_count) AS token_count, TIMESTAMP '{T1}' + to_hours(('0x' || substring(chunk_hash, 1, 3))::INT) AS accessed_at FROM old_c GROUP BY 1)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,24 +18,26 @@ CHANGES = "document_id string, text string, metadata string, version long, delet
 
 def upsert(corpus: DataFrame, changes: DataFrame) -> DataFrame:
     """corpus (document_id, text, metadata) after changes; of several changes of one document the latest version counts."""
-    latest = changes.withColumn("_n", F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("version")))).where("_n = 1").drop("_n")
-    kept = corpus.join(latest.select("document_id"), "document_id", "left_anti")
-    return kept.unionByName(latest.where(~F.coalesce("deleted", F.lit(False))).select("document_id", "text", "metadata"))
+    new = latest(changes)
+    kept = corpus.join(new.select("document_id"), "document_id", "left_anti")
+    return kept.unionByName(new.where("NOT deleted").select("document_id", "text", "metadata"))
 
 
-def ingest(changes: DataFrame, corpus_dir: str, store: IndexStore, chunker: Chunker, provider: Provider, cache: EmbeddingCache, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Starts the stream.  The corpus is a table a batch below corpus_dir; a batch that is run again
-    starts from the same earlier table and finds its generation's plan empty, so nothing is published twice."""
-    spark = changes.sparkSession
+def latest(changes: DataFrame) -> DataFrame:
+    """The change of each document that counts: of several the one of the greatest version, of equal ones a deletion, then the greatest text."""
+    rank = F.struct("version", F.coalesce("deleted", F.lit(False)).alias("d"), "text", "metadata")
+    return changes.groupBy("document_id").agg(F.max_by(F.struct("text", "metadata", F.coalesce("deleted", F.lit(False)).alias("deleted")), rank).alias("c")).select("document_id", "c.*")
+
+
+def ingest(changes: DataFrame, store: IndexStore, chunker: Chunker, provider: Provider, cache: EmbeddingCache, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Starts the stream.  Each micro-batch plans and writes the documents it changes, and no others; of one document the later
+    batch counts.  A batch that is run again finds its documents as it left them and publishes nothing."""
 
     def batch(df: DataFrame, number: int) -> None:
-        jvm = spark._jvm
-        before = f"{corpus_dir}/batch={number - 1}"
-        path = jvm.org.apache.hadoop.fs.Path(before)
-        had = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        corpus = spark.read.parquet(before) if had else spark.createDataFrame([], "document_id string, text string, metadata string")
-        upsert(corpus, written(df, "changes")).write.mode("overwrite").parquet(f"{corpus_dir}/batch={number}")
-        plan = service.prepare(store, spark.read.parquet(f"{corpus_dir}/batch={number}"), chunker, provider, cache)
+        new = written(latest(df), "changes")
+        if not new.limit(1).count():
+            return
+        plan = service.prepare(store, new.where("NOT deleted").drop("deleted"), chunker, provider, cache, scope=new.select("document_id"))
         service.apply(store, plan, provider, cache)
 
     writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

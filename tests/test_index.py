@@ -145,6 +145,6 @@ def test_stream(spark, place, tmp_path):
         if step == 2:
             spark.createDataFrame([("b", None, None, 3, True)], schema).write.parquet(f"{tmp_path}/in/2")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
-        ingest.ingest(stream, f"file://{tmp_path}/corpus", store, CHUNKER, provider, cache, f"file://{tmp_path}/check").awaitTermination()
+        ingest.ingest(stream, store, CHUNKER, provider, cache, f"file://{tmp_path}/check").awaitTermination()
         assert store.status()["generation"] == step
     assert [r.document_id for r in store.documents().collect()] == ["a"]
