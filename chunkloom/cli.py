@@ -61,10 +61,13 @@ def _summary(plan: service.Prepared) -> dict[str, Any]:
     return {"operations": plan.counts, "cost": plan.cost, "old_root": plan.before.corpus_root, "new_root": plan.corpus_root, "requires_apply": plan.requires_apply}
 
 
-def _gates(args: argparse.Namespace, docs, plan: service.Prepared) -> None:
-    if plan.counts["delete"] and not args.allow_delete:
-        raise ConfigError(f"the plan deletes {plan.counts['delete']} chunks: say --allow-delete")
-    if plan.before.generation and docs.limit(1).count() == 0 and not args.allow_empty:
+def _gates(args: argparse.Namespace, plan: service.Prepared) -> None:
+    """Another model makes new rows of all chunks, so all old ones go."""
+    old, new = (sum(plan.counts[k] for k in kinds) for kinds in (("keep", "move", "delete"), ("keep", "move", "add")))
+    gone = old if plan.embed_all and plan.before.generation and plan.model != (plan.before.model_id, plan.before.params_hash) else plan.counts["delete"]
+    if gone and not args.allow_delete:
+        raise ConfigError(f"the plan deletes {gone} chunks: say --allow-delete")
+    if old and not new and not args.allow_empty:
         raise ConfigError("the plan empties the index: say --allow-empty")
 
 
@@ -73,6 +76,9 @@ def run(args: argparse.Namespace) -> int:
     if name == "init":
         _show({"written": cf.write_default(args.config, args.force).path}, args.json)
         return 0
+    if name == "adopt":
+        _show({"written": cf.adopt(args.from_config, args.config).path, "from": args.from_config}, args.json)
+        return 0
     if name == "recover":
         _show({"migration": migrate.recover(_session(), cf.load(args.config, recovering=True))}, args.json)
         return 0
@@ -84,8 +90,9 @@ def run(args: argparse.Namespace) -> int:
     if name == "index":
         _consent(args, config)
         store, cache, docs, plan = _plan(args, config)
-        _gates(args, docs, plan)
+        _gates(args, plan)
         state = service.apply(store, plan, config.embedding.build(), cache, config.embedding.batch_size)
+        service.write_mirror(store)
         _show(_summary(plan) | {"generation": state.generation}, args.json)
         return 0
     if name == "query":
@@ -116,6 +123,7 @@ def run(args: argparse.Namespace) -> int:
         out = {"changes": m.changes} | _summary(m.plan)
         if args.apply:
             _consent(args, m.new)
+            _gates(args, m.plan)
             out["generation"] = migrate.apply(spark, m).generation
         _show(out, args.json)
         return 0
@@ -173,6 +181,7 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     add("init", flags=("--force",))
+    add("adopt").add_argument("--from-config", required=True)
     add("recover")
     add("plan", flags=("--details",)).add_argument("paths", nargs="*")
     add("index", flags=("--allow-network", "--allow-delete", "--allow-empty")).add_argument("paths", nargs="*")
@@ -182,7 +191,7 @@ def parser() -> argparse.ArgumentParser:
     add("status")
     add("verify")
     add("compact", flags=("--dry-run",)).add_argument("--before", required=True)
-    m = add("migrate", flags=("--apply", "--rollback", "--allow-network"))
+    m = add("migrate", flags=("--apply", "--rollback", "--allow-network", "--allow-delete", "--allow-empty"))
     m.add_argument("--chunker", help="JSON of changed keys")
     m.add_argument("--embedding", help="JSON of changed keys")
     add("measure-churn", flags=("--fixtures",)).add_argument("paths", nargs="*")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = r"(?U)[^\s\x1c-\x1f]+"
-MARK = "\u0001"  # stands before a word that begins a paragraph
+MARK, ESCAPE = "\u0001", "\u0002"  # MARK stands before a word that begins a paragraph
 _PARAGRAPH = r"(?U)\s*\n[\t\f\x0B ]*\n\s*"
 STOP_WORDS = tuple("a an and are at be by do does for how in is it of on or the to what when where which with".split())
 
@@ -31,14 +31,19 @@ def words(text: Column) -> Column:
 
 
 def marked_words(text: Column) -> Column:
-    """Words in their order; one that follows a blank line, unless it is the first, begins with MARK."""
-    clean = F.regexp_replace(unify_breaks(F.translate(text, MARK, " ")), r"(?U)^\s+|\s+$", "")
+    """Words in their order; one that follows a blank line, unless it is the first, begins with MARK.
+
+    A text's own MARK and ESCAPE are escaped, and come back in join_words.
+    """
+    safe = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(MARK), F.lit(ESCAPE + "a"))
+    clean = F.regexp_replace(unify_breaks(safe), r"(?U)^\s+|\s+$", "")
     return words(F.regexp_replace(clean, _PARAGRAPH, " " + MARK))
 
 
 def join_words(marked: Column) -> Column:
     """Canonical text: words by one space, paragraphs by a blank line; no mark before the first word."""
-    return F.regexp_replace(F.replace(F.array_join(marked, " "), F.lit(" " + MARK), F.lit("\n\n")), "^" + MARK, "")
+    plain = F.regexp_replace(F.replace(F.array_join(marked, " "), F.lit(" " + MARK), F.lit("\n\n")), "^" + MARK, "")
+    return F.replace(F.replace(plain, F.lit(ESCAPE + "a"), F.lit(MARK)), F.lit(ESCAPE + "b"), F.lit(ESCAPE))
 
 
 def normalized(text: Column) -> Column:
@@ -49,9 +54,30 @@ def is_sentence_end(word: Column) -> Column:
     return word.rlike(r"""[.!?](?:["')\]}]+)?$""")
 
 
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What full case folding does to characters that lower case leaves: one to one, and one to several."""
+    left = {c: c.casefold() for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))) if c.lower() == c != c.casefold()}
+    one = {c: f for c, f in left.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in left.items() if len(f) > 1}
+
+
+_ONE, _TO, _MANY = _folds()
+
+
+def folded(text: Column) -> Column:
+    """Full Unicode case folding by built-in functions; only a text that has one of the rare letters that become several goes through all of them."""
+    low = F.translate(F.lower(text), _ONE, _TO)
+    many = low
+    for c, f in _MANY.items():
+        many = F.replace(many, F.lit(c), F.lit(f))
+    usual = F.replace(low, F.lit("ß"), F.lit("ss"))
+    rare = "[" + "".join(c for c in _MANY if c != "ß") + "]"
+    return F.when(low.rlike(rare), many).otherwise(usual)
+
+
 def features(text: Column) -> Column:
-    """Letters-and-digits tokens, case folded (the one letter that lower case leaves is folded by hand)."""
-    return F.regexp_extract_all(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Letters-and-digits tokens, case folded."""
+    return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def bigrams(tokens: Column) -> Column:
@@ -65,7 +91,7 @@ def lexical_terms(text: Column) -> Column:
 
 def lexical_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of the sets of case-folded words; two empty texts are equal."""
-    x, y = (F.array_distinct(words(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")))) for t in (a, b))
+    x, y = (F.array_distinct(words(folded(t))) for t in (a, b))
     total = F.size(F.array_union(x, y))
     return F.when(total == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / total)
 
@@ -76,8 +102,8 @@ def squeezed(text: Column) -> Column:
 
 def holds_evidence(text: Column, passages: Column) -> Column:
     """Whether any passage occurs in text, both case folded with white space collapsed."""
-    plain = squeezed(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
-    return F.exists(passages, lambda p: F.contains(plain, squeezed(F.replace(F.lower(p), F.lit("ß"), F.lit("ss")))))
+    plain = squeezed(folded(text))
+    return F.exists(passages, lambda p: F.contains(plain, squeezed(folded(p))))
 
 
 def preview(text: Column, most: int = 240) -> Column:

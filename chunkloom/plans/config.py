@@ -184,6 +184,23 @@ def replace_file(path: Path, text: str) -> None:
     os.replace(part, path)
 
 
+def adopt(source: str, path: str = FILE) -> Config:
+    """Writes the configuration of another file of the same folder to path: state and sources stay where and what they are, nothing is embedded.
+
+    Refused where path exists, or a journal tells of an unfinished migration of either file.
+    """
+    if Path(path).exists():
+        raise ConfigError(f"{path} exists")
+    old = load(source)
+    new = Config(**{n: getattr(old, n) for n in _SECTIONS}, path=path)
+    if new.journal.exists():
+        raise ConfigError(f"{new.journal.name} tells of an unfinished migration: recover it first")
+    if new.base != old.base:
+        raise ConfigError("both files must lie in the same folder, from which state and sources are named")
+    replace_file(Path(path).resolve(), render(new))
+    return load(path)
+
+
 def write_default(path: str = FILE, force: bool = False) -> Config:
     if Path(path).exists() and not force:
         raise ConfigError(f"{path} exists")

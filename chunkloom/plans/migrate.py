@@ -44,7 +44,7 @@ def opened(spark: SparkSession, config: cf.Config) -> tuple[IndexStore, Embeddin
 def corpus(spark: SparkSession, config: cf.Config, inputs: tuple[str, ...] = ()):
     protected = [config.folder("index"), config.folder("cache"), str(Path(config.path).resolve()), str(config.journal), str(config.base / ".chunkloom")]
     paths = files.discover(str(config.base), inputs, config.sources.include, config.sources.exclude, protected)
-    return written(files.load(spark, str(config.base), paths), "sources")
+    return files.unchanged(written(files.load(spark, str(config.base), paths), "sources"), str(config.base), paths)
 
 
 def patched(config: cf.Config, chunker: dict[str, Any] | None = None, embedding: dict[str, Any] | None = None) -> cf.Config:

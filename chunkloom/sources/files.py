@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 from collections.abc import Iterable, Sequence
 from pathlib import Path, PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SourceError
 
 SUFFIXES = frozenset(
-    ".adoc .asciidoc .bash .c .cc .cfg .cpp .css .csv .go .h .hpp .html .ini .java .js .json .jsx .kt .md .mdx .php .py .rb .rs .rst .sh .sql .toml .ts .tsx .txt .yaml".split()
+    ".c .cc .cfg .conf .cpp .css .csv .go .h .hpp .html .ini .java .js .json .jsx .md .mdx .php .py .rb .rs .rst .sh .sql .tex .toml .ts .tsx .txt .xml .yaml .yml".split()
 )
 DOCUMENTS = "document_id string, text string, metadata string"
 
@@ -52,22 +53,46 @@ def discover(base: str, inputs: Sequence[str] = (), includes: Sequence[str] = ("
 def load(spark: SparkSession, base: str, paths: Sequence[str]) -> DataFrame:
     """The files as documents: decoded as UTF-8 without a byte-order mark, read by the executors.
 
-    A file with a zero byte among its first 8192 or with invalid UTF-8 fails the query; a repeated id fails here.
+    A file with a zero byte among its first 8192 or with invalid UTF-8, or whose size is no longer that of the listing, fails the
+    query; a repeated id fails here.  Names are taken as they are, brackets and stars included.
     """
     if len(set(paths)) != len(paths):
         raise SourceError("a document id occurs twice")
     if not paths:
         return spark.createDataFrame([], DOCUMENTS)
     root = Path(base).resolve()
-    files = spark.read.format("binaryFile").load([str(root / p) for p in paths])
+    files = _opened(spark, root, paths)
     binary = F.locate("00", F.regexp_replace(F.hex(F.substring("content", 1, 8192)), "(..)", "$1 ")) > 0
-    relative = F.substring(F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/*", "/"), len(str(root)) + 2, 1 << 20)
-    text = F.decode(F.when(binary, F.raise_error(F.concat(F.lit("a binary file: "), F.col("path"))).cast("binary")).otherwise(F.col("content")), "UTF-8")
+    relative = _relative(root)
+    fail = lambda why: F.raise_error(F.concat(F.lit(why), F.col("path"))).cast("binary")
+    changed = F.octet_length("content") != F.col("length")
+    text = F.decode(F.when(changed, fail("a file changed while it was read: ")).when(binary, fail("a binary file: ")).otherwise(F.col("content")), "UTF-8")
     plain = F.when(F.startswith(text, F.lit("﻿")), F.substring(text, 2, 1 << 30)).otherwise(text)
     metadata = F.to_json(F.struct((F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), relative.alias("path"), F.col("length").alias("size")))
     return files.select(relative.alias("document_id"), plain.alias("text"), metadata.alias("metadata"))
 
 
+def _opened(spark: SparkSession, root: Path, paths: Sequence[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load([re.sub(r"([{}\[\]*?\\])", r"\\\1", str(root / p)) for p in paths])
+
+
+def _relative(root: Path) -> Column:
+    return F.substring(F.regexp_replace("path", "^file:/*", "/"), len(str(root)) + 2, 1 << 20)
+
+
+def unchanged(docs: DataFrame, base: str, paths: Sequence[str]) -> DataFrame:
+    """docs, loaded and written before, or an error if a file has another size or time by now than when it was listed."""
+    if not paths:
+        return docs
+    root = Path(base).resolve()
+    now = _opened(docs.sparkSession, root, paths).select(_relative(root).alias("document_id"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"))
+    was = docs.select("document_id", F.from_json("metadata", "mtime_ns long, size long").alias("m"))
+    other = now.join(was, "document_id", "full_outer").where(~(F.col("m.mtime_ns").eqNullSafe(F.col("mtime_ns")) & F.col("m.size").eqNullSafe(F.col("size")))).limit(1).collect()
+    if other:
+        raise SourceError(f"a file changed while it was read: {other[0].document_id}")
+    return docs
+
+
 def unique_ids(docs: DataFrame) -> DataFrame:
     """docs, or an error if an id occurs twice."""
     twice = docs.groupBy("document_id").count().where("count > 1").limit(1).collect()
@@ -76,4 +101,4 @@ def unique_ids(docs: DataFrame) -> DataFrame:
     return docs
 
 
-__all__ = ["DOCUMENTS", "SUFFIXES", "discover", "load", "unique_ids"]
+__all__ = ["DOCUMENTS", "SUFFIXES", "discover", "load", "unchanged", "unique_ids"]
