@@ -53,6 +53,12 @@ def presented(operations: DataFrame) -> DataFrame:
     return operations.orderBy("document_id", order, F.col("new_position").asc_nulls_last(), F.col("old_position").asc_nulls_last(), "chunk_hash")
 
 
+def numbered(operations: DataFrame) -> DataFrame:
+    """operations with their line, 1, 2, ..., in that order within each document."""
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    return operations.withColumn("line", F.row_number().over(Window.partitionBy("document_id").orderBy(order, F.col("new_position").asc_nulls_last(), F.col("old_position").asc_nulls_last(), "chunk_hash")))
+
+
 def counts(operations: DataFrame) -> DataFrame:
     """(kind, n) for all four kinds, 0 included."""
     kinds = operations.sparkSession.createDataFrame([(k,) for k in KINDS], "kind string")

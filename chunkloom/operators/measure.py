@@ -23,7 +23,7 @@ PRICE = 0.02  # US dollars a million tokens: an illustration, no provider's curr
 _STOP = re.compile(r"[.!?](?!\S)")
 _BLANK = re.compile(r"\r?\n[ \t]*\r?\n")
 _HEADING = re.compile(r"^#{1,6}[ \t]+[^\r\n]", re.M)
-_TERM = re.compile(r"\b[A-Za-z][\w-]{3,}\b", re.A)
+_TERM = re.compile(r"\b[A-Za-z][A-Za-z0-9_-]{3,}\b")
 _NOISE = frozenset("after before each from into must only shall that their then this when with".split())
 SENTENCE, PARAGRAPH, SECTION, ENDING = "An added remark stands here.", "An added paragraph stands here, of two clauses.", "## Added part\n\nIts only paragraph.", "## Closing part\n\nIts last paragraph.\n"
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +14,10 @@ from .functions import identity as I
 from .functions import scoring, text as tx
 from .operators import chunking as ch
 from .operators import diff, embedding, measure, merkle, retrieval
-from .plans import manifest as mf, store
+from .plans import manifest as mf, service, store
+from .shared import shared_dir, written
 from .sources import cache
+from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -230,11 +235,136 @@ def cdc_boundaries(spark, sf):
     return ch.chunk_documents(_talks(spark, sf), _CDC).select("document_id", "position", "start_word", "end_word", "boundary_kind")
 
 
+_MARKED = r"regexp_extract_all(regexp_replace(trim(text, ' ' || chr(9) || chr(10)), '\s*\n[\t\f\v ]*\n\s*', ' ' || chr(1), 'g'), '\S+')"
+
+
+def _marked_sql(source: str) -> str:
+    """CTE src (document_id, w, n, paras, ends): marked words, and the positions before which a paragraph begins or behind which a sentence ends."""
+    mark = r"regexp_matches(w[i], '[.!?]([\")\]}]|'')*$')".replace('\\"', '"')
+    return rf"""src0 AS (SELECT document_id, {_MARKED} AS w FROM {source}),
+src AS (SELECT document_id, w, len(w) AS n, list_filter(range(1, len(w)), lambda i: w[i + 1][1] = chr(1)) AS paras, list_filter(range(1, len(w) + 1), lambda i: {mark}) AS ends FROM src0 WHERE len(w) > 0)"""
+
+
+def _snap_sql() -> str:
+    """As _cdc_sql, but each cut but the last goes to a near paragraph, else a near sentence end, of which the nearer, then the later."""
+    c = _CDC
+    head, tail = _cdc_sql().split("cuts(document_id", 1)
+    fits = lambda source: f"list_filter({source}, lambda x: x >= raw - {c.snap_window_words} AND x <= raw + {c.snap_window_words} AND x >= e + {c.min_tokens} AND x <= e + {c.max_tokens})"
+    best = lambda source: f"list_extract(list_sort(list_transform({fits(source)}, lambda x: [abs(x - raw), -x])), 1)"
+    return head.replace("src AS (", "plain AS (").replace("FROM src)", "FROM plain)").rstrip().rstrip(",") + rf""", {_marked_sql('talks')},
+marks_ AS (SELECT marks.*, src.paras, src.ends FROM marks JOIN src USING (document_id)),
+cuts(document_id, p, b, n, paras, ends, s, e, kind, k) AS (
+ SELECT document_id, p, b, n, paras, ends, 0::BIGINT, 0::BIGINT, '', -1::BIGINT FROM marks_
+ UNION ALL
+ SELECT document_id, p, b, n, paras, ends, e, CASE WHEN raw >= n THEN raw WHEN para IS NOT NULL THEN -para[2] WHEN sent IS NOT NULL THEN -sent[2] ELSE raw END, kind_, k + 1
+ FROM (SELECT *, {best('paras')} AS para, {best('ends')} AS sent FROM (
+  SELECT *, CASE WHEN pp IS NOT NULL THEN pp WHEN top = n THEN n WHEN bb IS NOT NULL THEN bb ELSE top END AS raw, CASE WHEN pp IS NOT NULL THEN 'primary' WHEN top = n THEN 'final' WHEN bb IS NOT NULL THEN 'backup' ELSE 'hard' END AS kind_
+  FROM (SELECT *, least(e + {c.max_tokens}, n) AS top, list_min(list_filter(p, lambda x: x >= e + {c.min_tokens} AND x <= least(e + {c.max_tokens}, n))) AS pp,
+   list_max(list_filter(b, lambda x: x >= e + {c.min_tokens} AND x <= least(e + {c.max_tokens}, n))) AS bb FROM cuts WHERE e < n))))
+SELECT document_id, k::INT AS position, s::INT AS start_word, e::INT AS end_word, kind AS boundary_kind FROM cuts WHERE k >= 0"""
+
+
+@query(_snap_sql())
+def cdc_snap_boundaries(spark, sf):
+    """Content-defined boundaries snapped to paragraphs and sentences."""
+    return ch.chunk_documents(_talks(spark, sf), replace(_CDC, snap_to_boundaries=True)).select("document_id", "position", "start_word", "end_word", "boundary_kind")
+
+
+@query(f"WITH RECURSIVE b AS ({_cdc_sql()}) SELECT document_id, count(*) AS chunk_count, count(*) FILTER (boundary_kind = 'hard') AS hard_cuts, count(*) FILTER (boundary_kind = 'primary') AS primary_boundaries, coalesce(count(*) FILTER (boundary_kind = 'hard') / nullif(count(*) FILTER (boundary_kind <> 'final'), 0), 0.0)::DOUBLE AS hard_cut_rate FROM b GROUP BY 1")
+def hard_cut_rates(spark, sf):
+    return ch.stats(ch.chunk_documents(_talks(spark, sf), _CDC)).select("document_id", "chunk_count", "hard_cuts", "primary_boundaries", "hard_cut_rate")
+
+
+def _recursive_sql(source: str, most: int, least: int) -> str:
+    return rf"""WITH RECURSIVE {_marked_sql(source)},
+cuts(document_id, n, paras, ends, s, e, k) AS (SELECT document_id, n, paras, ends, 0::BIGINT, 0::BIGINT, -1::BIGINT FROM src
+ UNION ALL SELECT document_id, n, paras, ends, e, CASE WHEN e + {most} >= n THEN n ELSE coalesce(list_max(list_filter(paras, lambda x: x >= e + {least} AND x <= e + {most})), list_max(list_filter(ends, lambda x: x >= e + {least} AND x <= e + {most})), e + {most}) END, k + 1 FROM cuts WHERE e < n)
+SELECT document_id, k::INT AS position, s::INT AS start_word, e::INT AS end_word, (e - s)::INT AS token_count FROM cuts WHERE k >= 0"""
+
+
+def _hashed_sql(boundaries: str, chunker: ch.Chunker) -> str:
+    """boundaries, SQL that has a CTE src, with the chunks' hashes."""
+    head, tail = boundaries.rsplit("\nSELECT ", 1)
+    body = "regexp_replace(replace(array_to_string(w[start_word + 1 : end_word], ' '), ' ' || chr(1), chr(10) || chr(10)), '^' || chr(1), '')"
+    hashed = _framed("chunk", _lit(I.domain("chunk-identity")), _lit(I.domain("normalizer")), _lit(chunker.chunker_id), _lit(chunker.params_hash), body)
+    return f"{head},\nfound AS (SELECT {tail}) SELECT document_id, position, start_word, end_word, (end_word - start_word)::INT AS token_count, {hashed} AS chunk_hash FROM found JOIN src USING (document_id)"
+
+
+_DOCUMENTS = "documents_ AS (SELECT doc_id::VARCHAR AS document_id, text FROM documents)"
+
+
+@query(_hashed_sql(_recursive_sql("documents_", 512, 1).replace("WITH RECURSIVE", f"WITH RECURSIVE {_DOCUMENTS},"), ch.create_chunker("recursive")))
+def chunks_recursive(spark, sf):
+    return ch.chunk_documents(_docs(spark, sf), ch.create_chunker("recursive")).select(*_COLUMNS.split(", "))
+
+
+@query(_recursive_sql("talks", 40, 10).replace("WITH RECURSIVE", f"WITH RECURSIVE {_TALKS},"))
+def recursive_paragraphs(spark, sf):
+    """Recursive cuts of texts that have paragraphs."""
+    return ch.chunk_documents(_talks(spark, sf), ch.Recursive(max_tokens=40, min_tokens=10)).select("document_id", "position", "start_word", "end_word", "token_count")
+
+
+_SEMANTIC = ch.Semantic(max_tokens=50, min_tokens=8, threshold=0.05)
+
+
+def _semantic_sql(source: str, c: ch.Semantic) -> str:
+    """One step a sentence or paragraph (unit): the state is where the open group and the last unit begin, and the cuts so far."""
+    words = lambda a, b: f"list_distinct(list_transform(w[{a} + 1 : {b}], lambda x: replace(lower(ltrim(x, chr(1))), 'ß', 'ss')))"
+    pieces = lambda a, b: f"list_transform(range({a}, {b}, {c.max_tokens}), lambda x: [x, least(x + {c.max_tokens}, {b})])"
+    return rf"""WITH RECURSIVE {_marked_sql(source)},
+units AS (SELECT document_id, w, n, list_sort(list_distinct(list_concat(list_concat(paras, ends), [n]))) AS u FROM src),
+steps(document_id, k, start, unit, cuts) AS (SELECT document_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[][] FROM units
+ UNION ALL
+ SELECT document_id, k + 1, CASE WHEN apart THEN unit ELSE s2 END, e, CASE WHEN apart THEN list_append(c2, [s2, unit]) ELSE c2 END FROM (
+  SELECT *, unit > s2 AND unit - s2 >= {c.min_tokens} AND len(list_intersect({words('s2', 'unit')}, {words('unit', 'e')})) / len(list_distinct(list_concat({words('s2', 'unit')}, {words('unit', 'e')}))) < {c.threshold} AS apart FROM (
+   SELECT *, CASE WHEN big AND s1 = unit AND s1 + {c.max_tokens} < e THEN s1 + {c.max_tokens} ELSE s1 END AS s2, CASE WHEN big AND s1 = unit AND s1 + {c.max_tokens} < e THEN list_append(c1, [s1, s1 + {c.max_tokens}]) ELSE c1 END AS c2 FROM (
+    SELECT *, CASE WHEN big THEN greatest(start, unit) ELSE start END AS s1, CASE WHEN big AND start < unit THEN list_concat(cuts, {pieces('start', 'unit')}) ELSE cuts END AS c1 FROM (
+     SELECT steps.*, units.w, u[k + 1] AS e, u[k + 1] - start > {c.max_tokens} AS big FROM steps JOIN units USING (document_id) WHERE k < len(u)))))),
+done AS (SELECT document_id, list_concat(cuts, {pieces('start', 'n')}) AS cuts FROM steps JOIN units USING (document_id) WHERE k = len(u)),
+rows_ AS (SELECT document_id, unnest(range(0, len(cuts))) AS position, unnest(cuts) AS c FROM done)
+SELECT document_id, position::INT AS position, c[1]::INT AS start_word, c[2]::INT AS end_word FROM rows_"""
+
+
+@query(_hashed_sql(_semantic_sql("documents_", ch.create_chunker("semantic")).replace("WITH RECURSIVE", f"WITH RECURSIVE {_DOCUMENTS},"), ch.create_chunker("semantic")))
+def chunks_semantic(spark, sf):
+    return ch.chunk_documents(_docs(spark, sf), ch.create_chunker("semantic")).select(*_COLUMNS.split(", "))
+
+
+@query(_semantic_sql("talks", _SEMANTIC).replace("WITH RECURSIVE", f"WITH RECURSIVE {_TALKS},"))
+def semantic_boundaries(spark, sf):
+    """Sentences grouped by similarity."""
+    return ch.chunk_documents(_talks(spark, sf), _SEMANTIC).select("document_id", "position", "start_word", "end_word")
+
+
+_COUNTED = ch.Fixed(size=4000, overlap=300, counter=len, tokenizer_id="characters")
+
+
+@query(rf"""WITH RECURSIVE src AS (SELECT doc_id::VARCHAR AS document_id, regexp_extract_all(text, '\\S+') AS w FROM documents),
+words AS (SELECT document_id, unnest(range(0, len(w))) AS i, length(unnest(w)) AS l FROM src),
+sums AS (SELECT document_id, count(*) AS n, list_prepend(0::BIGINT, list(t ORDER BY i)) AS t FROM (SELECT document_id, i, (sum(l) OVER (PARTITION BY document_id ORDER BY i))::BIGINT AS t FROM words) GROUP BY document_id),
+cuts(document_id, s, e, k) AS (SELECT document_id, -1::BIGINT, -1::BIGINT, -1::BIGINT FROM sums
+ UNION ALL SELECT document_id, s2, list_max(list_filter(range(s2 + 1, n + 1), lambda i: t[i + 1] - t[s2 + 1] <= 4000)), k + 1 FROM (
+  SELECT cuts.*, n, t, CASE WHEN k < 0 THEN 0 ELSE coalesce(list_min(list_filter(range(s + 1, e), lambda i: t[e + 1] - t[i + 1] <= 300)), e) END AS s2 FROM cuts JOIN sums USING (document_id) WHERE e < n))
+SELECT document_id, k::INT AS position, s::INT AS start_word, e::INT AS end_word, (t[e + 1] - t[s + 1])::INT AS token_count FROM cuts JOIN sums USING (document_id) WHERE k >= 0""".replace("\\\\S", "\\S"))
+def counted_chunks(spark, sf):
+    """Fixed chunks with a token counter of one's own: characters, cut by prefix sums, with an overlap."""
+    return ch.chunk_documents(_docs(spark, sf), _COUNTED).select("document_id", "position", "start_word", "end_word", "token_count")
+
+
+@query(rf"""WITH parts AS (SELECT doc_id::VARCHAR AS document_id, regexp_extract_all(text, '\s*\S+') AS p FROM documents),
+words AS (SELECT document_id, unnest(range(0, len(p))) AS i, unnest(p) AS p FROM parts),
+places AS (SELECT document_id, i, sum(length(p)) OVER (PARTITION BY document_id ORDER BY i) AS stop, length(regexp_replace(p, '^\s*', '')) AS l FROM words)
+SELECT document_id, (i // {SIZE})::INT AS position, min(stop - l)::INT AS start_offset, max(stop)::INT AS end_offset, count(*)::INT AS token_count FROM places GROUP BY document_id, i // {SIZE}""".replace("\\\\", "\\"))
+def chunk_offsets(spark, sf):
+    """Where chunks lie in their sources."""
+    return ch.chunk_documents(_docs(spark, sf), ch.Fixed(size=SIZE)).select("document_id", "position", "start_offset", "end_offset", "token_count")
+
+
 def _kernel(strategy: str):
     return lambda spark, sf: ch.chunk_documents(_docs(spark, sf), ch.create_chunker(strategy)).drop("metadata")
 
 
-for _name in ch.STRATEGIES[1:]:
+for _name in ch.STRATEGIES[3:]:
     QUERIES["chunks_" + _name.replace("-", "_").replace("+", "_")] = _kernel(_name)
 
 
@@ -257,6 +387,29 @@ def plan_operations(spark, sf):
     return _operations(spark, sf).fillna(-1)
 
 
+@query(f"""WITH {_OPS} SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY list_position(['keep', 'move', 'add', 'delete'], kind), new_position NULLS LAST, old_position NULLS LAST, chunk_hash))::INT AS line, kind, chunk_hash FROM ops""")
+def plan_report(spark, sf):
+    """Operations numbered in the order that reports show them."""
+    return diff.numbered(_operations(spark, sf)).select("document_id", "line", "kind", "chunk_hash")
+
+
+_SCOPE, _ROOT = "m\0p\0generation:2", "r" * 64
+
+
+@query(f"""WITH {_OPS} SELECT ops.document_id, ops.new_position AS position, ops.chunk_hash, coalesce(CASE WHEN old_position IS NOT NULL THEN md5(ops.document_id || ':' || old_position || ':' || ops.chunk_hash) END,
+ substring(sha256({_hex((I.NAMESPACE + ':instance:v1').encode() + bytes(1) + _SCOPE.encode() + bytes(1) + _ROOT.encode() + bytes(1))} || encode(ops.document_id) || {_hex(bytes(1))} || encode(new_position::VARCHAR) || {_hex(bytes(1))} || encode(ops.chunk_hash) || {_hex(bytes(1))}), 1, 32)) AS instance_id
+ FROM ops WHERE new_position IS NOT NULL""")
+def resolved_identities(spark, sf):
+    """Kept and moved chunks carry their rows' ids on, added ones get ids of their own."""
+    return service.resolve_identities(_operations(spark, sf), _rows(_docs(spark, sf)), _SCOPE, _ROOT)
+
+
+@query(f"WITH {_OLD}, {_OLD_C} SELECT chunk_hash, md5(any_value(text)) AS digest, any_value(token_count) AS token_count FROM old_c GROUP BY 1")
+def unique_inputs(spark, sf):
+    """What is embedded: one text a hash."""
+    return embedding.unique_inputs(_chunks(_docs(spark, sf))).select("chunk_hash", F.md5("text").alias("digest"), "token_count")
+
+
 @query(f"WITH {_OPS} SELECT kind, count(ops.kind) AS n FROM (VALUES ('keep'), ('move'), ('add'), ('delete')) k(kind) LEFT JOIN ops USING (kind) GROUP BY kind")
 def plan_counts(spark, sf):
     return diff.counts(_operations(spark, sf))
@@ -268,8 +421,10 @@ ours AS (SELECT (SELECT count(*) FROM wanted) - count(*) AS cache_hits, count(*)
 naive AS (SELECT count(*) AS naive_chunks, coalesce(sum(token_count), 0)::BIGINT AS naive_tokens FROM new_c WHERE document_id IN (SELECT document_id FROM ops WHERE kind <> 'keep'))
 SELECT *, tokens_to_embed * 2.0::DOUBLE / 1e6 AS estimated_cost, naive_tokens * 2.0::DOUBLE / 1e6 AS naive_cost, greatest(0, naive_chunks - chunks_to_embed) AS avoided_chunks FROM ours, naive""")
 def plan_cost(spark, sf):
-    new = _for_plan(_revised(_docs(spark, sf)))
-    return diff.cost(_operations(spark, sf), new, new.where("chunk_hash < '8'"), 2.0)
+    d = _docs(spark, sf)
+    new = written(_for_plan(_revised(d)), "chunks")  # chunked once, planned once
+    operations = written(diff.plan_operations(_for_plan(d), new), "operations")
+    return diff.cost(operations, new, new.where("chunk_hash < '8'"), 2.0)
 
 
 _CHURN = """WITH {0}, o AS (SELECT chunk_hash, count(*) AS x FROM old_c GROUP BY 1), n AS (SELECT chunk_hash, count(*) AS y, min(token_count) AS t FROM new_c GROUP BY 1),
@@ -360,13 +515,22 @@ def evidence_pairs(spark, sf):
     return _relevant(spark, sf)
 
 
-@query(f"""WITH {_TFIDF}, {_RELEVANT}, total AS (SELECT q, count(*) AS n FROM rel GROUP BY 1),
+_QUALITY = f"""WITH {_TFIDF}, {_RELEVANT}, total AS (SELECT q, count(*) AS n FROM rel GROUP BY 1),
 got AS (SELECT q, count(*) FILTER (r <= 5) AS hits, sum(1 / log2(r + 1)) FILTER (r <= 10) AS dcg FROM ranks JOIN rel USING (q, c) WHERE r <= 10 GROUP BY 1)
-SELECT q AS question_id, round(least(1.0, coalesce(hits, 0) / n), 9)::DOUBLE AS recall, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 9) AS ndcg FROM total LEFT JOIN got USING (q)""".replace("total AS (SELECT q", "relevant_n AS (SELECT q").replace("FROM total LEFT", "FROM relevant_n LEFT"))
+SELECT q AS question_id, round(least(1.0, coalesce(hits, 0) / n), 9)::DOUBLE AS recall, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 9) AS ndcg FROM total LEFT JOIN got USING (q)""".replace("total AS (SELECT q", "relevant_n AS (SELECT q").replace("FROM total LEFT", "FROM relevant_n LEFT")
+
+
+@query(_QUALITY)
 def retrieval_quality(spark, sf):
     return retrieval.retrieval_quality(_ranks(spark, sf), _relevant(spark, sf)).select("question_id", F.round("recall", 9).alias("recall"), F.round("ndcg", 9).alias("ndcg"))
 
 
+@query(f"""WITH per AS ({_QUALITY}) SELECT count(*) AS questions, round(avg(recall), 9) AS mean_recall, round(avg(ndcg), 9) AS mean_ndcg FROM per""")
+def retrieval_means(spark, sf):
+    q = retrieval.retrieval_quality(_ranks(spark, sf), _relevant(spark, sf))
+    return q.agg(F.count("*").alias("questions"), F.round(F.avg("recall"), 9).alias("mean_recall"), F.round(F.avg("ndcg"), 9).alias("mean_ndcg"))
+
+
 @query()
 def hash_embeddings(spark, sf):
     return embedding.embed(embedding.unique_inputs(_chunks(_docs(spark, sf))), embedding.HashProvider(64))
@@ -421,6 +585,50 @@ def index_status(spark, sf):
     return store.status(merged, documents)
 
 
+_RECORD = """'{"chunk_hash":"' || chunk_hash || '","end_offset":' || end_word || ',"hard_cut":true,"metadata":{},"start_offset":' || start_word || ',"token_count":' || token_count || '}'"""
+_MANIFEST = f"""'{{"chunker_id":"fixed","chunker_params_hash":"{PARAMS}","chunks":[' || string_agg({_RECORD}, ',' ORDER BY position) || '],"document_id":"' || document_id || '","metadata":{{}},"normalizer_version":"{I.domain('normalizer')}","root_hash":"' || root_hash || '","schema_version":1}}'"""
+
+
+@query(f"WITH RECURSIVE {_OLD}, {_OLD_C}, {_roots_sql('old_c', 'r')} SELECT document_id, {_MANIFEST} AS json FROM old_c JOIN r USING (document_id) GROUP BY document_id, root_hash")
+def document_manifests(spark, sf):
+    """Each document's manifest as canonical JSON, read back once, which proves the roots."""
+    manifests = mf.from_json(mf.to_json(_sound(spark, sf)[2]))
+    return mf.to_json(manifests)
+
+
+@query(f"WITH {_MERGED} SELECT instance_id, document_id, position, chunk_hash, (valid_to IS NOT NULL) AS tombstoned FROM merged WHERE valid_to IS NULL OR document_id::BIGINT % 10 <> 0")
+def index_lifecycle(spark, sf):
+    """Three generations in a real index: the first state, the later one, and the documents that are gone deleted for good by a compaction between two times."""
+    index, d = store.IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"), _docs(spark, sf)
+    facts = ("r", "m", "p", 2)
+
+    def put(docs, scope=None):
+        rows = _rows(docs).drop("record_digest")
+        made = rows.select(*[c for c in rows.columns if c not in ("params_hash", "chunker_params_hash")], F.col("chunker_params_hash").alias("params_hash"))
+        manifests = mf.document_manifests(made, docs.select("document_id", F.lit(None).cast("string").alias("metadata")))
+        return index.apply(rows, mf.documents(manifests), manifests, index.state(), *facts, scope)
+
+    gone = d.where("doc_id % 10 = 0").select("document_id")
+    put(d)
+    put(d.limit(0), gone)  # these first, and deleted for good before the others change
+    index.compact(datetime.now(timezone.utc) + timedelta(seconds=1))
+    put(_revised(d))
+    index.vacuum()
+    return index.chunks().select("instance_id", "document_id", "position", "chunk_hash", F.col("valid_to").isNotNull().alias("tombstoned"))
+
+
+_CHANGED = "SELECT item_id * 7 % 40 AS doc_id, text, item_id AS version, item_id % 3 = 0 AS deleted FROM benchmark"
+
+
+@query(f"""WITH c AS ({_CHANGED}), latest AS (SELECT doc_id, arg_max(text, version) AS text, arg_max(deleted, version) AS deleted FROM c GROUP BY 1)
+SELECT doc_id::VARCHAR AS document_id, md5(text) AS digest FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM latest) UNION ALL SELECT doc_id::VARCHAR, md5(text) FROM latest WHERE NOT deleted""")
+def upserted_corpus(spark, sf):
+    """A corpus after changes: of several changes of a document the latest counts."""
+    b = spark.read.parquet(f"{sf}/benchmark.parquet")
+    changes = b.select((F.col("item_id") * 7 % 40).cast("string").alias("document_id"), "text", F.lit(None).cast("string").alias("metadata"), F.col("item_id").alias("version"), (F.col("item_id") % 3 == 0).alias("deleted"))
+    return ingest.upsert(_docs(spark, sf).select("document_id", "text", F.lit(None).cast("string").alias("metadata")), changes).select("document_id", F.md5("text").alias("digest"))
+
+
 @query("SELECT NULL::VARCHAR AS document_id, NULL::INT AS position, NULL::VARCHAR AS problem WHERE false")
 def verify_consistent(spark, sf):
     """A sound index has no problem."""
@@ -520,3 +728,28 @@ def cache_prune(spark, sf):
 def cache_misses(spark, sf):
     d = _docs(spark, sf)
     return _chunks(_revised(d)).select("chunk_hash").distinct().join(_chunks(d).select("chunk_hash"), "chunk_hash", "left_anti")
+
+
+@query(f"WITH {_CACHE} SELECT chunk_hash, model_id, params_hash, token_count FROM e")
+def cache_round_trip(spark, sf):
+    """Entries put into a cache, exported as JSON lines and imported into another one."""
+    root = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    one, other = cache.EmbeddingCache(spark, f"{root}/one"), cache.EmbeddingCache(spark, f"{root}/other")
+    one.put(_entries(spark, sf), "m", "p", 2)
+    one.export_jsonl(f"{root}/lines")
+    other.import_jsonl(f"{root}/lines", trusted=True)
+    return other.entries().select("chunk_hash", "model_id", "params_hash", "token_count")
+
+
+_BLANKS = "string_split_regex(text, '\\r?\\n[ \\t]*\\r?\\n')"
+
+
+@query(f"""WITH {_TALKS}, p AS (SELECT document_id, text, list_filter({_BLANKS}, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS p FROM talks)
+SELECT document_id, 'append' AS operation, md5(rtrim(text, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || chr(10) || {_lit(measure.ENDING)}) AS digest FROM p
+UNION ALL SELECT document_id, 'delete-paragraph', md5(trim(array_to_string(list_concat(list_transform([p[1]], lambda x: rtrim(x)), list_transform(p[3:], lambda x: x)), chr(10) || chr(10)), ' ' || chr(9) || chr(10) || chr(13))) FROM p WHERE len(p) >= 2
+UNION ALL SELECT document_id, 'insert-paragraph', md5(array_to_string(list_concat(list_append(p[1:2], {_lit(measure.PARAGRAPH)}), p[3:]), chr(10) || chr(10))) FROM p
+UNION ALL SELECT document_id, 'reorder-sections', md5(array_to_string([p[2], p[1], array_to_string(p[3:], chr(10) || chr(10))], chr(10) || chr(10))) FROM p WHERE len(p) >= 2""")
+def edited_paragraphs(spark, sf):
+    """Four of the nine edits on texts of several paragraphs and without headings."""
+    edits = measure.edited(_talks(spark, sf), ("append", "delete-paragraph", "insert-paragraph", "reorder-sections"))
+    return edits.select("document_id", "operation", F.md5("text").alias("digest"))
