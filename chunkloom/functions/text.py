@@ -37,7 +37,9 @@ def marked_words(text: Column) -> Column:
     """
     safe = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(MARK), F.lit(ESCAPE + "a"))
     clean = F.regexp_replace(unify_breaks(safe), r"(?U)^\s+|\s+$", "")
-    return words(F.regexp_replace(clean, _PARAGRAPH, " " + MARK))
+    marked = words(F.regexp_replace(clean, _PARAGRAPH, " " + MARK))
+    # most texts have no blank line and skip all that
+    return F.when(safe.rlike("[\n\r][\t\f\x0B ]*[\n\r]"), marked).otherwise(words(safe))
 
 
 def join_words(marked: Column) -> Column:

@@ -10,7 +10,7 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -25,39 +25,64 @@ WORD_TOKENIZER = "word-v1"
 _WORD = re.compile(r"\S+")
 _BREAK = re.compile(r"\n[\t\f\v ]*\n")
 _SENTENCE = re.compile(r"[.!?](?:[\"')\]}]+)?$")
+_BLANK = re.compile(r"[\n\r][\t\f\v ]*[\n\r]")
 _BASE = 0x100000001B3
 _MASK = (1 << 64) - 1
 
+MEMO = 1_000_000
+_SYMBOLS: dict[Any, dict[str, int]] = {}
+
 CHUNKS = (
     "document_id string, position int, text string, start_offset int, end_offset int, token_count int, start_word int, end_word int,"
     " raw_end_word int, boundary_kind string, snap_kind string, chunk_hash string, chunker_id string, params_hash string, metadata string"
 )
 
 
+_SPACES = np.array([chr(i).isspace() for i in range(0x3001)])
+
+
 class Words:
     """A document's normalised words with offsets into the source, paragraph marks and token prefix sums."""
 
     def __init__(self, source: str, counter: Callable[[str], int] | None = None) -> None:
-        self.text: list[str] = []
-        self.start: list[int] = []
-        self.end: list[int] = []
-        self.paragraph: list[bool] = []
-        self.tokens = [0]
-        last = 0
-        for m in _WORD.finditer(source):
-            a, b = m.span()
-            gap = source[last:a]
-            self.paragraph.append(bool(self.text) and _BREAK.search(gap.replace("\r\n", "\n").replace("\r", "\n")) is not None)
-            raw = m.group()
-            word = raw if raw.isascii() else unicodedata.normalize("NFC", raw)
-            n = 1 if counter is None else counter(word)
+        words = source.split()
+        self.text: list[str] = words if source.isascii() or unicodedata.is_normalized("NFC", source) else [unicodedata.normalize("NFC", w) for w in words]
+        self._source = source
+        self._bounds: tuple[np.ndarray, np.ndarray] | None = None
+        # which words begin a paragraph: none, in most texts
+        self.paragraphs = self._breaks() if _BLANK.search(source) else []
+        self.tokens: Sequence[int] = range(len(words) + 1) if counter is None else self._counted(counter)
+
+    def _breaks(self) -> list[int]:
+        """Words, but the first, before which a blank line lies."""
+        start, end = self.bounds
+        gaps = (self._source[a:b].replace("\r\n", "\n").replace("\r", "\n") for a, b in zip(end[:-1].tolist(), start[1:].tolist()))
+        return [i for i, gap in enumerate(gaps, 1) if len(gap) > 1 and _BREAK.search(gap)]
+
+    def _counted(self, counter: Callable[[str], int]) -> list[int]:
+        sums = [0]
+        for word in self.text:
+            n = counter(word)
             if type(n) is not int or n < 1:
                 raise ValueError("a token counter must return a positive integer")
-            self.text.append(word)
-            self.start.append(a)
-            self.end.append(b)
-            self.tokens.append(self.tokens[-1] + n)
-            last = b
+            sums.append(sums[-1] + n)
+        return sums
+
+    @property
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and ends of all words in the source, in characters."""
+        if self._bounds is None:
+            codes = np.frombuffer(self._source.encode("utf-32-le", "surrogatepass"), np.uint32)
+            inside = np.zeros(len(codes) + 2, bool)
+            inside[1:-1] = ~_SPACES[np.minimum(codes, 0x3000)] | (codes > 0x3000)
+            edge = np.flatnonzero(inside[1:] != inside[:-1])
+            self._bounds = edge[::2], edge[1::2]
+        return self._bounds
+
+    def paragraph(self, at: int) -> bool:
+        """Whether a word, but the first, begins a paragraph."""
+        k = bisect_left(self.paragraphs, at)
+        return k < len(self.paragraphs) and self.paragraphs[k] == at
 
     def __len__(self) -> int:
         return len(self.text)
@@ -66,15 +91,14 @@ class Words:
         return self.tokens[b] - self.tokens[a]
 
     def join(self, a: int, b: int) -> str:
-        out = self.text[a:b]
-        for i in range(a + 1, b):
-            out[i - a] = ("\n\n" if self.paragraph[i] else " ") + out[i - a]
-        return "".join(out)
+        cuts = [a, *self.paragraphs[bisect_right(self.paragraphs, a) : bisect_left(self.paragraphs, b)], b]
+        return "\n\n".join(" ".join(self.text[x:y]) for x, y in zip(cuts, cuts[1:]))
 
     def offsets(self, a: int, b: int) -> tuple[int, int]:
+        start, end = self.bounds
         if a < b:
-            return self.start[a], self.end[b - 1]
-        point = self.start[a] if a < len(self) else self.end[-1] if self.text else 0
+            return int(start[a]), int(end[b - 1])
+        point = int(start[a] if a < len(self) else end[-1] if self.text else 0)
         return point, point
 
     def limit(self, start: int, most: int) -> int:
@@ -88,7 +112,7 @@ class Words:
         return at > 0 and _SENTENCE.search(self.text[at - 1]) is not None
 
     def breaks(self, at: int) -> bool:
-        return at < len(self) and self.paragraph[at]
+        return at < len(self) and self.paragraph(at)
 
 
 @dataclass(frozen=True)
@@ -190,14 +214,8 @@ class ContentDefined(Chunker):
         return hashlib.sha256(identity.canonical_json(self.params()).encode()).hexdigest()
 
     def cuts(self, words: Words) -> Iterator[Cut]:
-        n, memo = len(words), {}
-        symbols = np.empty(n, np.uint64)
-        for i, key in enumerate(zip(words.text, words.paragraph)):
-            value = memo.get(key)
-            if value is None:
-                value = memo[key] = self.symbol(*key, self.namespace)
-            symbols[i] = value
-        marks = fingerprints(symbols, self.window_words)
+        n = len(words)
+        marks = fingerprints(self.symbols(words), self.window_words)
         at = np.arange(self.window_words, self.window_words + len(marks))
         backup = at[(marks & np.uint64((1 << self.backup_mask_bits) - 1)) == 0].tolist()
         primary = at[(marks & np.uint64((1 << self.primary_mask_bits) - 1)) == 0].tolist()
@@ -221,6 +239,21 @@ class ContentDefined(Chunker):
             yield Cut(start, end, raw, kind, snap)
             start = end
 
+    def symbols(self, words: Words) -> np.ndarray:
+        """One a word; those of the last MEMO different words are kept by the process."""
+        memo = _SYMBOLS.setdefault((self.symbol, self.namespace), {})
+        if len(memo) > MEMO:
+            memo.clear()
+        get = memo.get
+        out = [get(w) for w in words.text]
+        if None in out:
+            for i, w in enumerate(words.text):
+                if out[i] is None:
+                    out[i] = memo[w] = memo.get(w) or self.symbol(w, False, self.namespace)
+        for i in words.paragraphs:
+            out[i] = self.symbol(words.text[i], True, self.namespace)
+        return np.array(out, np.uint64)
+
     def snapped(self, words: Words, start: int, anchor: int) -> tuple[int, str]:
         """A paragraph, else a sentence end near the anchor; the nearest, of two equally near the later."""
         near = [p for p in range(max(1, anchor - self.snap_window_words), min(len(words), anchor + self.snap_window_words) + 1) if p > start and self.min_tokens <= words.between(start, p) <= self.max_tokens]
@@ -284,7 +317,7 @@ class Recursive(Chunker):
             return words.breaks(at)
         if separator == ". ":
             return words.sentence(at)
-        gap = "" if at >= len(words) else "\n\n" if words.paragraph[at] else " "
+        gap = "" if at >= len(words) else "\n\n" if words.paragraph(at) else " "
         return separator == "" or (words.text[at - 1] + gap).endswith(separator)
 
     def cuts(self, words: Words) -> Iterator[Cut]:
@@ -380,6 +413,9 @@ def chunk_documents(docs: DataFrame, chunker: Chunker) -> DataFrame:
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], CHUNKS).schema)
     params_hash = chunker.params_hash
 
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
+
     def run(batches):
         for b in batches:
             rows: list[dict[str, Any]] = []
@@ -387,10 +423,10 @@ def chunk_documents(docs: DataFrame, chunker: Chunker) -> DataFrame:
                 for c in split_text(text or "", chunker):
                     rows.append(c | {"document_id": doc, "chunker_id": chunker.chunker_id, "params_hash": params_hash, "metadata": meta})
                 if len(rows) >= 5000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    yield batch(rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield batch(rows)
 
     return source.mapInArrow(run, CHUNKS)
 

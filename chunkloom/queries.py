@@ -15,7 +15,7 @@ from .functions import scoring, text as tx
 from .operators import chunking as ch
 from .operators import diff, embedding, measure, merkle, retrieval
 from .plans import manifest as mf, service, store
-from .shared import shared_dir, written
+from .shared import shared_dir, spread, written
 from .sources import cache
 from .streaming import ingest
 
@@ -37,7 +37,7 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("document_id"), "text", "doc_id")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("document_id"), "text", "doc_id")
 
 
 def _talks(spark: SparkSession, sf: str) -> DataFrame:

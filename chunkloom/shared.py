@@ -45,6 +45,12 @@ def written(df: DataFrame, tag: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read by fewer tasks than there are cores, because its files are few and small, dealt out to all of them; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def numbered(df: DataFrame, keys: list[str], name: str = "row") -> tuple[DataFrame, int]:
     """df with the rows' numbers 0, 1, ... in the order of keys, and how many there are.
 
