@@ -1,13 +1,9 @@
-"""Text functions by built-in expressions; Unicode NFC is the one Arrow function."""
+"""Text functions by built-in expressions: no text leaves the JVM."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 WORD = r"(?U)[^\s\x1c-\x1f]+"
 MARK, ESCAPE = "\u0001", "\u0002"  # MARK stands before a word that begins a paragraph
@@ -15,10 +11,10 @@ _PARAGRAPH = r"(?U)\s*\n[\t\f\x0B ]*\n\s*"
 STOP_WORDS = tuple("a an and are at be by do does for how in is it of on or the to what when where which with".split())
 
 
-@F.arrow_udf(T.StringType())
-def nfc(text: pa.Array) -> pa.Array:
-    # Arrow's own utf8_normalize does not compose
-    return pa.array([x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x) for x in text.to_pylist()], pa.string())
+def nfc(text: Column) -> Column:
+    """Unicode NFC by the ICU library that Spark brings along; a text of ASCII letters only is left alone."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike(r"[^\x00-\x7f]"), composed).otherwise(text)
 
 
 def unify_breaks(text: Column) -> Column:
