@@ -62,6 +62,18 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 _ONE, _TO, _MANY = _folds()
 
 
+def _near(least: int = 16) -> str:
+    """The other characters, in long ranges, as a class: lower case and ß are all that is to be done to a text of these only."""
+    def far(c: str) -> bool:
+        return any(x in _ONE or x in _MANY and x != "ß" for x in c + c.lower()) or c == "Σ"  # a last one becomes ς
+
+    ends = [-1, *(i for i in (*range(0x80, 0xD800), *range(0xE000, 0x20000)) if far(chr(i))), 0x110000]
+    return "".join(rf"\x{{{a + 1:x}}}-\x{{{b - 1:x}}}" for a, b in zip(ends, ends[1:]) if b - a > least)
+
+
+_NEAR = _near()
+
+
 def folded(text: Column) -> Column:
     """Full Unicode case folding by built-in functions; only a text that has one of the rare letters that become several goes through all of them."""
     low = F.translate(F.lower(text), _ONE, _TO)
@@ -70,7 +82,7 @@ def folded(text: Column) -> Column:
         many = F.replace(many, F.lit(c), F.lit(f))
     usual = F.replace(low, F.lit("ß"), F.lit("ss"))
     rare = "[" + "".join(c for c in _MANY if c != "ß") + "]"
-    return F.when(low.rlike(rare), many).otherwise(usual)
+    return F.when(~text.rlike(f"[^{_NEAR}]"), F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).when(low.rlike(rare), many).otherwise(usual)
 
 
 def features(text: Column) -> Column:
@@ -87,11 +99,20 @@ def lexical_terms(text: Column) -> Column:
     return F.filter(features(text), lambda w: ~w.isin(*STOP_WORDS))
 
 
+def word_set(text: Column) -> Column:
+    """The different case-folded words."""
+    return F.array_distinct(words(folded(text)))
+
+
+def jaccard(x: Column, y: Column) -> Column:
+    """Of two arrays without repeated values; two empty ones are equal."""
+    common = F.size(F.array_intersect(x, y))
+    return F.when(F.size(x) + F.size(y) == 0, 1.0).otherwise(common / (F.size(x) + F.size(y) - common))
+
+
 def lexical_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of the sets of case-folded words; two empty texts are equal."""
-    x, y = (F.array_distinct(words(folded(t))) for t in (a, b))
-    total = F.size(F.array_union(x, y))
-    return F.when(total == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / total)
+    return jaccard(word_set(a), word_set(b))
 
 
 def squeezed(text: Column) -> Column:
