@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 import time
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from typing import Any, Protocol, runtime_checkable
 
 import numpy as np
@@ -19,6 +18,8 @@ from ..functions import identity
 from ..functions.scoring import MAX_DIMENSIONS
 
 _TOKEN = re.compile(r"[^\W_]+")
+# letters that don't fold to letters: a text that holds one is folded token by token
+_UNLIKE = re.compile("[" + "".join(c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))) if c != c.casefold() and (_TOKEN.fullmatch(c) is None or _TOKEN.fullmatch(c.casefold()) is None)) + "]")
 
 
 class TransientError(RuntimeError):
@@ -45,35 +46,42 @@ class HashProvider:
             raise ValueError("a model needs a name")
         self.person = f"{namespace}-hash-v1".encode()[:16]
         self.model_id, self.params_hash = identity.embedding_identity("hash", self.model, dimensions, namespace=namespace)
-        self._memo: dict[str, tuple[int, float]] = {}
-
-    def _feature(self, feature: str) -> tuple[int, float]:
-        got = self._memo.get(feature)
-        if got is None:
-            if len(self._memo) > 500_000:
-                self._memo.clear()
-            d = hashlib.blake2b(feature.encode(), digest_size=16, person=self.person).digest()
-            got = self._memo[feature] = int.from_bytes(d[:8], "little") % self.dimensions, 1.0 if d[8] & 1 else -1.0
-        return got
+        self._memo: dict[str, int] = {}
+
+    def _hashed(self, features: Iterable[str]) -> np.ndarray:
+        """Twice the place of each feature, and 1 more where its sign is positive."""
+        digest, person = hashlib.blake2b, self.person
+        raw = np.frombuffer(b"".join([digest(f, digest_size=16, person=person).digest() for f in map(str.encode, features)]), "<u8").reshape(-1, 2)
+        return (raw[:, 0] % np.uint64(self.dimensions)).astype(np.int64) * 2 + (raw[:, 1] & np.uint64(1)).astype(np.int64)
+
+    def _known(self, tokens: list[str]) -> np.ndarray:
+        """The same; of single words some 500,000 are kept, while most pairs don't come again soon enough to be worth it."""
+        new = list(set(tokens).difference(self._memo))
+        if len(self._memo) + len(new) > 500_000:
+            self._memo.clear()
+            new = list(set(tokens))
+        self._memo.update(zip(new, self._hashed(new).tolist()))
+        return np.array(list(map(self._memo.__getitem__, tokens)), np.int64)
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
         return self.matrix(texts).tolist()
 
     def matrix(self, texts: Sequence[str]) -> np.ndarray:
         """A row of unit length for each text, zeros for one without a word."""
-        known, feature = self._memo, self._feature
-        found, count = [], []
+        words: list[str] = []
+        pairs: list[str] = []
+        count = []
         for text in texts:
-            tokens = [t.casefold() for t in _TOKEN.findall(text)]
-            found += [known.get(f) or feature(f) for f in tokens]
-            found += [known.get(f) or feature(f) for f in map("\x1f".join, zip(tokens, tokens[1:]))]
-            count.append(max(0, 2 * len(tokens) - 1))
+            tokens = [t.casefold() for t in _TOKEN.findall(text)] if _UNLIKE.search(text) else _TOKEN.findall(text.casefold())
+            words += tokens
+            pairs += map("\x1f".join, zip(tokens, tokens[1:]))
+            count.append(len(tokens))
         n = len(count)
-        if not found:
+        if not words:
             return np.zeros((n, self.dimensions))
-        at, sign = np.array(found).T
-        row = np.repeat(np.arange(n), count)
-        out = np.bincount(row * self.dimensions + at.astype(np.int64), sign, minlength=n * self.dimensions).reshape(n, self.dimensions)
+        code = np.concatenate([self._known(words), self._hashed(pairs)])
+        row = np.concatenate([np.repeat(np.arange(n), count), np.repeat(np.arange(n), np.maximum(0, np.array(count) - 1))])
+        out = np.bincount(row * self.dimensions + (code >> 1), 2.0 * (code & 1) - 1, minlength=n * self.dimensions).reshape(n, self.dimensions)
         size = np.sqrt((out * out).sum(1, keepdims=True))
         return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
 
@@ -136,10 +144,16 @@ def create_provider(provider: str, model: str | None = None, dimensions: int = 2
 
 def embed_texts(provider: Provider, texts: Sequence[str], tries: int = 4, pause: float = 1.0) -> list[list[float]]:
     """Vectors checked for number, dimensions, finiteness and an unchanged identity; transient failures are retried, pausing twice as long each time."""
+    return embed_matrix(provider, texts, tries, pause).tolist()
+
+
+def embed_matrix(provider: Provider, texts: Sequence[str], tries: int = 4, pause: float = 1.0) -> np.ndarray:
+    """The same as a matrix, a row a text."""
     before = provider.model_id, provider.params_hash
+    whole = getattr(type(provider), "embed", None) is HashProvider.embed
     for k in range(tries):
         try:
-            vectors = [list(map(float, v)) for v in provider.embed(texts)]
+            vectors = provider.matrix(texts) if whole else [list(map(float, v)) for v in provider.embed(texts)]
             break
         except TransientError:
             if k == tries - 1:
@@ -149,9 +163,14 @@ def embed_texts(provider: Provider, texts: Sequence[str], tries: int = 4, pause:
         raise RuntimeError("the provider's identity changed while it embedded")
     if len(vectors) != len(texts) or any(len(v) != provider.dimensions for v in vectors):
         raise RuntimeError("the provider returned another number of vectors or dimensions")
-    if any(not math.isfinite(x) for v in vectors for x in v):
+    found = np.asarray(vectors, np.float64).reshape(len(texts), provider.dimensions)
+    if not np.isfinite(found).all():
         raise RuntimeError("the provider returned a value that isn't finite")
-    return vectors
+    return found
+
+
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.astype(np.float32).ravel()))
 
 
 def embed(chunks: DataFrame, provider: Provider, batch_size: int = 64) -> DataFrame:
@@ -161,8 +180,8 @@ def embed(chunks: DataFrame, provider: Provider, batch_size: int = 64) -> DataFr
         for b in batches:
             for k in range(0, b.num_rows, batch_size):
                 part = b.slice(k, batch_size)
-                vectors = embed_texts(provider, part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32()))], ["chunk_hash", "text", "token_count", "vector"])
+                vectors = embed_matrix(provider, part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(vectors)], ["chunk_hash", "text", "token_count", "vector"])
 
     return chunks.select("chunk_hash", "text", F.col("token_count").cast("int")).mapInArrow(run, "chunk_hash string, text string, token_count int, vector array<float>")
 
@@ -176,8 +195,8 @@ def with_vectors(df: DataFrame, provider: Provider, batch_size: int = 64) -> Dat
         for b in batches:
             for k in range(0, b.num_rows, batch_size):
                 part = b.slice(k, batch_size)
-                vectors = embed_texts(provider, [t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32()))], schema.names)
+                vectors = embed_matrix(provider, [t or "" for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(vectors)], schema.names)
 
     return df.mapInArrow(run, schema)
 
