@@ -18,6 +18,7 @@ from .chunking import Chunker, ContentDefined, Fixed, Recursive, Semantic, chunk
 from .diff import churn
 from .embedding import HashProvider, Provider
 
+SLICE_ROWS = 256  # texts and their edits that a task holds at once
 PRICE = 0.02  # US dollars a million tokens: an illustration, no provider's current price
 
 _STOP = re.compile(r"[.!?](?!\S)")
@@ -143,7 +144,7 @@ def edited(docs: DataFrame, operations: tuple[str, ...] = tuple(EDITS)) -> DataF
     """(document_id, operation, text) of every document and every edit that its text supports."""
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             out: list[list] = [[], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for op in operations:
